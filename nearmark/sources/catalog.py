@@ -66,12 +66,26 @@ class Catalog:
         rows = self.rules.groupBy("rule_type").agg(
             F.count("*").alias("n"),
             F.max(F.octet_length("target")).alias("target_bytes"),
+            F.max(F.octet_length(F.concat_ws("", "target", "pattern", "address", "custom_char_subset", "rule_values"))).alias("text_bytes"),
+            F.max("exit_on_match").alias("exits"),
             F.max("maximum_distance").alias("distance"),
             F.collect_set("maximum_distance").alias("distances"),
             F.collect_set(F.octet_length("target")).alias("lengths"),
+            F.collect_set(F.coalesce("soundex_type", "metaphone_type")).alias("kinds"),
         ).collect()
         return {r.rule_type: r for r in rows}
 
+    @cached_property
+    def set_bytes(self) -> int:
+        """Upper bound of the rule-set table."""
+        text = F.octet_length(F.concat_ws("", "group_source", "group_name", "rule_set", "target"))
+        row = self.sets.agg(F.count("*").alias("n"), F.max(text).alias("text")).first()
+        return row.n * ((row.text or 0) + 128)
+
+    @property
+    def has_exits(self) -> bool:
+        return any(row.exits for row in self.profile.values())
+
     @cached_property
     def chain_shapes(self) -> dict[tuple, list[int]]:
         """Chain ids by the kinds of their steps. The lists inside a step stay in the table."""
