@@ -12,7 +12,7 @@ from nearmark.operators.control import early_exit, without_exit
 from nearmark.operators.joins import BROADCAST_BYTES, hot_join, hot_keys, size_bound, sliced_join, spread_join
 from nearmark.operators.preprocess import make_parts, start_parts
 from nearmark.schemas import PART_METADATA, RESULT_COLUMNS, RESULT_TYPES
-from nearmark.session import configure
+from nearmark.session import configure, cut
 from nearmark.sources.catalog import Catalog
 
 MATCH_COLUMNS = [
@@ -20,6 +20,7 @@ MATCH_COLUMNS = [
     "soundex_type", "max_code_length", "metaphone_type", *PART_METADATA, "early_match_exit",
 ]
 DEFAULTS = Options()
+INLINE_JOBS = 2
 
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:
@@ -64,6 +65,9 @@ def match_values(values: DataFrame, catalog: Catalog, options: Options = DEFAULT
     occurrences = make_parts(values, catalog)
     counted = occurrences.groupBy("chain_id", "part").agg(F.count("*").alias("n"))
     pairs = scored_pairs if report_all else matched_pairs
+    if len(catalog.profile) > INLINE_JOBS:
+        # many jobs read the parts: one written table instead of one copy of the plan in each
+        counted = cut(counted, "parts")
     found = pairs(counted.select("chain_id", "part"), catalog, options)
     found = early_exit(found) if catalog.has_exits else without_exit(found)
     hot = hot_keys(counted, ["chain_id", "part"], "n")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A repeated key in a JSON object keeps its last value instead of making the whole record unparsable.
 SETTINGS = {
@@ -66,3 +66,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="nearmark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    The plans built on top start from files: they stay short, and a lost executor costs no recomputation
+    of what led to the table.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,6 +29,7 @@ from nearmark.schemas import (
     STEP_TYPE,
     VALUES_OPTIONAL,
 )
+from nearmark.session import configure, cut
 
 GROUP_KEYS = ["name", "rule_sets"]
 SET_KEYS = ["name", "string_match", "preprocessors", "match_rules"]
@@ -131,15 +131,10 @@ class Catalog:
             raise CatalogError(found)
         return self
 
-    def persist(self) -> "Catalog":
-        """Keep the rule table: every rule job reads it."""
-        for df in (self.rules, self.sets, self.chains):
-            df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self
-
-    def unpersist(self) -> None:
-        for df in (self.rules, self.sets, self.chains):
-            df.unpersist()
+    def settled(self) -> "Catalog":
+        """The same catalog as written tables: every rule job reads it, so it should be parsed once."""
+        return replace(self, rules=cut(self.rules, "rules"), sets=cut(self.sets, "rule-sets"),
+                       chains=cut(self.chains, "chains"))
 
 
 # --- reading JSON ---------------------------------------------------------------------------------
@@ -382,13 +377,14 @@ def load_catalog(spark: SparkSession, path: str, lines: bool = False,
 
     A bad file in a folder is skipped and listed in ``rejects``; a bad single file fails the load.
     """
+    configure(spark)
     files = (read_catalog_lines if lines else read_catalog_files)(spark, path)
     catalog = build_catalog(files, custom_types)
     rejected = catalog.rejects.limit(20).collect()
     if rejected and _is_single(spark, path):
         raise CatalogError([Row(group_name=r.group_source, rule_set="", problem=", ".join(r.problems))
                             for r in rejected])
-    return catalog.check()
+    return catalog.settled().check()
 
 
 def _is_single(spark: SparkSession, path: str) -> bool:
@@ -399,15 +395,23 @@ def _is_single(spark: SparkSession, path: str) -> bool:
 # --- targets that already are a table ---------------------------------------------------------------
 
 
+def _constant_steps(steps: list[Mapping] | None) -> Column:
+    values = [{**STEP_DEFAULTS, **s} for s in steps or []]
+    return F.from_json(F.lit(json.dumps(values)), f"array<{STEP_TYPE}>")
+
+
+def _constant_chain(spark: SparkSession, steps: Column) -> DataFrame:
+    # the chain is a constant, so its table does not scan the targets
+    return spark.range(1).select(steps.alias("steps")).select(F.xxhash64(F.to_json("steps")).alias("chain_id"), "steps")
+
+
 def catalog_from_targets(targets: DataFrame, column: str, rules: list[Mapping], steps: list[Mapping] | None = None,
                          group: str = "targets") -> Catalog:
     """One rule set per distinct string in a column, all with the same chain and rules.
 
     ``rules`` and ``steps`` are written as in a rule file.
     """
-    spark = targets.sparkSession
-    step_values = [{**STEP_DEFAULTS, **s} for s in steps or []]
-    step_array = F.from_json(F.lit(json.dumps(step_values)), f"array<{STEP_TYPE}>")
+    step_array = _constant_steps(steps)
     sets = _identified(
         targets.where(F.col(column).isNotNull()).select(F.col(column).alias("target")).distinct().select(
             F.lit("").alias("group_source"), F.lit(0).alias("group_ord"), F.lit(group).alias("group_name"),
@@ -416,9 +420,30 @@ def catalog_from_targets(targets: DataFrame, column: str, rules: list[Mapping],
     )
     typed = F.array(*[_literal_rule(i, r) for i, r in enumerate(rules)])
     table = sets.select(*SET_COLUMNS, F.explode(typed).alias("r")).select(*SET_COLUMNS, "r.*")
-    # the chain is a constant, so its table does not scan the targets
-    chains = spark.range(1).select(step_array.alias("steps")).select(F.xxhash64(F.to_json("steps")).alias("chain_id"), "steps")
-    return Catalog(rules=table.select(*RULE_COLUMNS), sets=sets.select(*SET_COLUMNS), chains=chains)
+    return Catalog(rules=table.select(*RULE_COLUMNS), sets=sets.select(*SET_COLUMNS),
+                   chains=_constant_chain(targets.sparkSession, step_array))
+
+
+def catalog_from_rules(table: DataFrame, steps: list[Mapping] | None = None) -> Catalog:
+    """Rules from a table with ``group_name, rule_set, target, rule_idx, rule_type`` and parameter columns.
+
+    Missing parameter columns get the defaults of the rule type. All rule sets share one chain.
+    """
+    step_array = _constant_steps(steps)
+    filled = table
+    for name, kind in PARAM_TYPES.items():
+        given = F.col(name) if name in table.columns else F.lit(None)
+        for rule_type, values in RULE_VALUES.items():
+            if name in values and values[name] is not ... and name not in table.columns:
+                given = F.when(F.col("rule_type") == rule_type, F.lit(values[name])).otherwise(given)
+        filled = filled.withColumn(name, given.cast(kind))
+    for name, default in {"group_source": "", "group_ord": 0, "set_ord": 0, "exit_on_match": False, "rule_values": None}.items():
+        if name not in table.columns:
+            filled = filled.withColumn(name, F.lit(default))
+    filled = _identified(filled.withColumn("steps", step_array)).withColumn("rule_values", F.col("rule_values").cast("string"))
+    return Catalog(
+        rules=filled.select(*RULE_COLUMNS), sets=filled.select(*SET_COLUMNS).distinct(),
+        chains=_constant_chain(table.sparkSession, step_array))
 
 
 def _literal_rule(index: int, rule: Mapping) -> Column:
