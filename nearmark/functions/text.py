@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` evaluated a single time, also where ``use`` mentions it inside a lambda."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def byte_string(col: Column) -> Column:
     """One character per UTF-8 byte, so built-in string functions count bytes."""
     return F.decode(F.encode(col, "UTF-8"), "ISO-8859-1")
@@ -27,12 +34,11 @@ def characters(col: Column) -> Column:
 
 def occurrence_tokens(col: Column) -> Column:
     """Characters numbered by occurrence (``a1 a2 b1``), so a multiset can be handled as a set."""
-    chars = F.array_sort(characters(col))
-    return F.transform(
+    return once(F.array_sort(characters(col)), lambda chars: F.transform(
         chars,
         # in a sorted array the distance to the first equal item is the occurrence number
         lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string")),
-    )
+    ))
 
 
 def position_tokens(col: Column) -> Column:
@@ -40,32 +46,23 @@ def position_tokens(col: Column) -> Column:
     return F.transform(characters(col), lambda c, i: F.concat(i.cast("string"), F.lit(":"), c))
 
 
-def combinations(items: Column, size: Column) -> Column:
-    """All sub-sequences of ``items`` of length ``size``, each joined into one key string."""
-    start = F.expr("array(named_struct('n', 0, 'key', ''))")
+def index_combinations(count: Column, size: Column) -> Column:
+    """All ascending combinations of ``size`` positions below ``count``, as arrays."""
+    start = F.expr("array(cast(array() as array<int>))")
+    positions = F.filter(F.sequence(F.lit(0), count), lambda i: i < count)
     grown = F.aggregate(
-        items,
-        start,
-        lambda acc, item: F.concat(
-            acc,
-            F.transform(
-                F.filter(acc, lambda a: a["n"] < size),
-                lambda a: F.struct(
-                    (a["n"] + 1).alias("n"), F.concat(a["key"], F.lit("\u0001"), item).alias("key")
-                ),
-            ),
-        ),
+        positions, start,
+        lambda acc, i: F.concat(
+            acc, F.transform(F.filter(acc, lambda a: F.size(a) < size), lambda a: F.concat(a, F.array(i)))),
     )
-    return F.transform(F.filter(grown, lambda a: a["n"] == size), lambda a: a["key"])
+    return F.filter(grown, lambda a: F.size(a) == size)
 
 
 def substrings(col: Column, size: Column) -> Column:
     """All substrings of the given length, left to right."""
-    last = F.char_length(col) - size
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(col, i + 1, size)),
-    ).otherwise(F.array().cast("array<string>"))
+    return once(col, lambda text: F.transform(
+        F.filter(F.sequence(F.lit(0), F.char_length(text)), lambda i: i + size <= F.char_length(text)),
+        lambda i: F.substring(text, i + 1, size)))
 
 
 def quoted(col: Column) -> Column:

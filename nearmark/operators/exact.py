@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 from nearmark.functions.network import address_bits, cidr_bits
 from nearmark.functions.patterns import portable, required_literal
 from nearmark.functions.text import substrings
-from nearmark.operators.joins import BROADCAST_BYTES, ROW_OVERHEAD, key_join, size_bound, sliced_join
+from nearmark.operators.joins import ROW_OVERHEAD, key_join, size_bound
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
 
@@ -109,6 +109,7 @@ def _score_cidr(pairs: DataFrame, options: Options) -> DataFrame:
 # --- regular expressions --------------------------------------------------------------------------------
 
 GRAM = 3
+FEW_PATTERNS = 16
 
 
 @F.pandas_udf(StringType())
@@ -133,23 +134,29 @@ def regex_hits(parts: DataFrame, patterns: DataFrame) -> DataFrame:
                          F.min(F.char_length("literal")).alias("shortest")).first()
     bound = (sized.n or 0) * (6 * (sized.target_bytes or 0) + ROW_OVERHEAD)
     parts = parts.select("chain_id", "part")
-    found = F.expr("part rlike java")
-    if bound <= BROADCAST_BYTES and sized.n <= INLINE_PATTERNS:
-        # so few that trying them is cheaper than looking texts up
-        return sliced_join(parts, distinct, ["chain_id"], bound, found).select("chain_id", "part", "pattern")
+    if sized.n <= FEW_PATTERNS:
+        # trying so few is cheaper than looking texts up
+        return _try_all(parts, distinct).select("chain_id", "part", "pattern")
     keyed = distinct.where(F.char_length("literal") >= GRAM).withColumn("gram", F.left("literal", F.lit(GRAM)))
     grams = parts.withColumn("gram", F.explode(F.array_distinct(substrings(K("part"), F.lit(GRAM)))))
-    near = key_join(grams, keyed, ["chain_id", "gram"], bound, F.contains(K("part"), K("literal")) & found)
+    near = key_join(grams, keyed, ["chain_id", "gram"], bound, F.expr("contains(part, literal) and part rlike java"))
     hits = near.select("chain_id", "part", "pattern")
     if (sized.shortest or 0) < GRAM:
-        rest = distinct.where(F.char_length("literal") < GRAM).withColumns(
-            {"set_id": F.xxhash64("pattern"), "rule_idx": F.lit(0)})
-        tried = sliced_join(parts, rest, ["chain_id"], bound, found)
+        tried = _try_all(parts, distinct.where(F.char_length("literal") < GRAM))
         hits = hits.unionByName(tried.select("chain_id", "part", "pattern"))
     return hits
 
 
-INLINE_PATTERNS = 16
+def _try_all(parts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every pattern on every part of its chain, parts spread over blocks.
+
+    In a merge join the left row stays while the rows of the block pass by, so that a pattern is
+    compiled once per block instead of once per part.
+    """
+    blocks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    spread = parts.withColumn("block", F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int"))
+    copies = patterns.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return copies.hint("merge").join(spread, ["chain_id", "block"]).where(F.expr("part rlike java"))
 
 
 def _find_regex(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:

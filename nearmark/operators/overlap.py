@@ -3,9 +3,10 @@
 Each reduces to "two token sets of sizes a and b share at least need(a, b)
 tokens". With both sets in one global order, the first ``a - need + s`` and the
 first ``b - need + s`` tokens must then share at least ``s`` of them, so every
-combination of ``s`` tokens from these prefixes is an exact join key. Larger
-``s`` makes keys rarer; it cannot exceed ``need``. Where nothing has to be
-shared, ``s`` is 0 and the one empty key compares everything of those sizes.
+combination of ``s`` tokens from these prefixes is an exact join key. A larger
+``s`` makes keys rarer but more numerous; it cannot exceed ``need``. Where
+nothing has to be shared, ``s`` is 0 and the one empty key compares everything
+of those sizes.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import jaro, jaro_winkler
 from nearmark.functions.phonetic import match_rating_code, refined_soundex_code, soundex_code
-from nearmark.functions.text import characters, combinations, is_ascii, occurrence_tokens, position_tokens
+from nearmark.functions.text import characters, index_combinations, is_ascii, occurrence_tokens, position_tokens
 from nearmark.operators.joins import hot_join, hot_keys, key_join, size_bound
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
 
 K = F.col
-KEY_TOKENS = 3
 # Letters from rare to frequent; the order only affects speed.
 RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 
@@ -38,33 +38,43 @@ def _ceil(value: Column) -> Column:
     return F.ceil(value - 1e-9).cast("int")
 
 
+def _key_size(need: Column, slack: Column) -> Column:
+    """Tokens per key: as many as keep the number of combinations low."""
+    return F.least(need, F.when(slack <= 6, 3).when(slack <= 15, 2).otherwise(1))
+
+
 def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column, Column, Column], Column],
-                       bound: int) -> DataFrame:
+                       bound: int, weighted: bool = False) -> DataFrame:
     """Pairs ``chain_id, item, other, p`` that may share enough tokens, each once.
 
     ``left`` has ``chain_id, item, tokens``; ``right`` has ``chain_id, p, other, tokens`` where ``p``
-    is the threshold. Both hold distinct items. ``need`` may also read the byte lengths ``wa``, ``wb``.
+    is the threshold. Both hold distinct items. With ``weighted``, ``need`` also reads the byte
+    lengths ``wa`` and ``wb`` of the items.
     """
-    left = left.withColumns({"a": F.size("tokens"), "wa": F.octet_length("item")})
-    right = right.withColumns({"b": F.size("tokens"), "wb": F.octet_length("other")})
-    # which size combinations can match at all: as many rows as there are distinct sizes, squared
+    def weight(name: str) -> Column:
+        return F.octet_length(name) if weighted else F.lit(0)
+
+    left = left.withColumns({"a": F.size("tokens"), "wa": weight("item")})
+    right = right.withColumns({"b": F.size("tokens"), "wb": weight("other")})
+    # which sizes can match at all, and how long a key is for them; bounded by the distinct sizes, squared
     sizes = (
         left.select("chain_id", "a", "wa").distinct()
         .join(right.select("chain_id", "p", "b", "wb").distinct(), "chain_id")
         .withColumn("need", F.greatest(need(K("a"), K("b"), K("p")), F.lit(0)))
         .where(K("need") <= F.least("a", "b"))
+        .withColumn("s", _key_size(K("need"), F.greatest("a", "b") - K("need")))
     )
 
     def keyed(side: DataFrame, size: str, on: list[str]) -> DataFrame:
-        shared = F.least(K("need"), F.lit(KEY_TOKENS))
-        rows = side.join(F.broadcast(sizes), on)
-        keys = combinations(F.slice("tokens", F.lit(1), K(size) - K("need") + shared), shared)
-        return rows.withColumn("key", F.explode(keys)).drop("tokens", "need")
+        # the combinations depend on sizes only, so they are made once per size and not per item
+        places = sizes.withColumn("at", F.explode(index_combinations(K(size) - K("need") + K("s"), K("s"))))
+        rows = side.join(F.broadcast(places.drop("need", "s")), on)
+        token = [F.get("tokens", F.get("at", F.lit(i))) for i in range(3)]
+        return rows.withColumn("key", F.concat_ws("\u0001", *token)).drop("tokens", "at")
 
-    block = ["chain_id", "p", "a", "wa", "b", "wb", "key"]
     joined = key_join(
         keyed(left, "a", ["chain_id", "a", "wa"]), keyed(right, "b", ["chain_id", "p", "b", "wb"]),
-        block, bound, by=["item"])
+        ["chain_id", "p", "a", "wa", "b", "wb", "key"], bound, by=["item"])
     return joined.select("chain_id", "item", "other", "p").distinct()
 
 
@@ -225,29 +235,35 @@ def _rating_need(a: Column, b: Column, p: Column) -> Column:
     return F.when(F.abs(K("wa") - K("wb")) < 3, need).otherwise(F.greatest(a, b) + 1)
 
 
-def _cancelled(left: Column, right: Column) -> tuple[Column, Column]:
-    """Both arrays without the characters that are equal at the same position."""
-    def rest(one: Column, two: Column) -> Column:
-        return F.transform(
-            F.filter(F.transform(one, lambda c, i: F.struct(c.alias("c"), F.get(two, i).alias("o"))),
-                     lambda x: ~x["c"].eqNullSafe(x["o"])),
-            lambda x: x["c"])
-
-    return rest(left, right), rest(right, left)
+# Fixed value: a code has at most the first three and the last three characters of a name.
+CODE_SIZE = 6
 
 
-def _rating(left: Column, right: Column) -> Column:
-    """6 minus the longer remainder after cancelling from the left, then from the right."""
-    one, two = _cancelled(left, right)
-    one, two = _cancelled(F.reverse(one), F.reverse(two))
-    return F.abs(6 - F.greatest(F.size(one), F.size(two)))
+def with_rating(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Add ``agree``: whether two codes are rated as similar.
 
-
-def _codes_agree(left: Column, right: Column) -> Column:
-    # code lengths count bytes here, remainders count characters
+    Characters equal at the same position are cancelled, then those equal counted from the end; the
+    rating is 6 minus what is left of the longer code. Written out for the few positions a code has.
+    """
+    def at(text: str, place: int) -> Column:
+        return F.substring(text, place, 1)
+
+    def rest(one: str, two: str) -> Column:
+        return F.concat(*[F.when(at(one, i) == at(two, i), F.lit("")).otherwise(at(one, i))
+                          for i in range(1, CODE_SIZE + 1)])
+
+    shorter = F.least(F.char_length("left_"), F.char_length("right_"))
+    equal = sum((F.when((at("left_", -i) == at("right_", -i)) & (shorter >= i), 1).otherwise(0)
+                 for i in range(1, CODE_SIZE + 1)), F.lit(0))
+    remaining = F.greatest(F.char_length("left_"), F.char_length("right_")) - equal
+    # code lengths count bytes, remainders count characters
     total = F.octet_length(left) + F.octet_length(right)
     near = F.abs(F.octet_length(left) - F.octet_length(right)) < 3
-    return near & (_rating(characters(left), characters(right)) >= _minimum_rating(total))
+    return (
+        pairs.withColumns({"left_": rest(left, right), "right_": rest(right, left)})
+        .withColumn("agree", near & (F.abs(6 - remaining) >= _minimum_rating(total)))
+        .drop("left_", "right_")
+    )
 
 
 def _rated(col: Column) -> Column:
@@ -262,8 +278,8 @@ def _find_match_rating(parts: DataFrame, rules: DataFrame, profile: Row, options
     targets = _distinct_targets(rules, "p", match_rating_code(K("target"))).withColumn(
         "tokens", rare_first(occurrence_tokens(K("other"))))
     # every pair of codes is rated once
-    pairs = shared_token_pairs(items, targets, _rating_need, size_bound(profile, 40)).where(
-        _codes_agree(K("item"), K("other")))
+    pairs = shared_token_pairs(items, targets, _rating_need, size_bound(profile, 40), weighted=True)
+    pairs = with_rating(pairs, "item", "other").where("agree").drop("agree")
     found = _with_rules(pairs, rules, "p", match_rating_code(K("target")), size_bound(profile))
     rated = with_parts(named, counted, found)
     short = parts.where(~_rated(K("part"))).select("chain_id", "part")
@@ -273,9 +289,9 @@ def _find_match_rating(parts: DataFrame, rules: DataFrame, profile: Row, options
 
 
 def _score_match_rating(pairs: DataFrame, options: Options) -> DataFrame:
-    agree = _codes_agree(match_rating_code(K("part")), match_rating_code(K("target")))
-    return pairs.select("*", *result_columns(
-        match=F.when(_rated(K("part")), agree).otherwise(K("part") == K("target"))))
+    coded_pairs = pairs.withColumns({"one": match_rating_code(K("part")), "two": match_rating_code(K("target"))})
+    match = F.when(_rated(K("part")), K("agree")).otherwise(K("part") == K("target"))
+    return with_rating(coded_pairs, "one", "two").select("*", *result_columns(match=match)).drop("one", "two", "agree")
 
 
 register(RuleJob("jaccard", _score_jaccard, _find_jaccard, ("minimum_similarity",)))
