@@ -13,9 +13,18 @@ def once(col: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(col), use), F.lit(0))
 
 
+def known(col: Column) -> Column:
+    """A string that is never NULL, for computed join keys.
+
+    For a key that may be NULL the optimizer adds a NULL test of its whole expression to the rows the key
+    is computed from, and pushes it below the de-duplication, where it runs on every raw row.
+    """
+    return F.coalesce(col, F.lit(""))
+
+
 def byte_string(col: Column) -> Column:
     """One character per UTF-8 byte, so built-in string functions count bytes."""
-    return F.decode(F.encode(col, "UTF-8"), "ISO-8859-1")
+    return known(F.decode(F.encode(col, "UTF-8"), "ISO-8859-1"))
 
 
 def from_byte_string(col: Column) -> Column:
@@ -32,9 +41,19 @@ def characters(col: Column) -> Column:
     return F.filter(F.split(col, ""), lambda c: c != "")
 
 
+# Letters from rare to frequent; the order of tokens only affects speed.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
+
+
+def rare_first(chars: Column) -> Column:
+    """Characters in one fixed order, rare ones first."""
+    ranked = F.transform(chars, lambda c: F.struct(F.instr(F.lit(RARE_FIRST), F.lower(c)).alias("rank"), c.alias("c")))
+    return F.array_sort(ranked)["c"]
+
+
 def occurrence_tokens(col: Column) -> Column:
-    """Characters numbered by occurrence (``a1 a2 b1``), so a multiset can be handled as a set."""
-    return once(F.array_sort(characters(col)), lambda chars: F.transform(
+    """Characters numbered by occurrence (``b1 a1 a2``), so a multiset can be handled as a set."""
+    return once(rare_first(characters(col)), lambda chars: F.transform(
         chars,
         # in a sorted array the distance to the first equal item is the occurrence number
         lambda c, i: F.concat(c, (i + 2 - F.array_position(chars, c)).cast("string")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearmark.functions.lookalike import skeleton
 from nearmark.functions.phonetic import capped, double_metaphone_codes, metaphone_code, nysiis_code
-from nearmark.functions.text import is_ascii
+from nearmark.functions.text import is_ascii, known
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.operators.overlap import NOT_ASCII, coded, with_parts
 from nearmark.schemas import result_columns
@@ -25,7 +25,7 @@ def _equal_codes(parts: DataFrame, code: Column, rules: DataFrame) -> DataFrame:
 
 
 def _find_confusables(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
-    found = _equal_codes(parts, skeleton(K("part")), rules.withColumn("item", skeleton(K("target"))))
+    found = _equal_codes(parts, skeleton(K("part")), rules.withColumn("item", known(skeleton(K("target")))))
     return found.where("part <> target").select("*", *result_columns(match=F.lit(True)))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import osa, osa_scan, osa_scan_all
-from nearmark.functions.text import byte_string, from_byte_string, substrings
+from nearmark.functions.text import byte_string, from_byte_string, known, substrings
 from nearmark.operators.joins import key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
@@ -32,7 +32,7 @@ def _target_bytes(rules: DataFrame) -> DataFrame:
 
 def _part_bytes(parts: DataFrame) -> DataFrame:
     return parts.select(
-        "chain_id", "part", byte_string(F.col("part")).alias("pb"), F.octet_length("part").alias("pl"))
+        "chain_id", "part", byte_string(F.col("part")).alias("pb"), F.coalesce(F.octet_length("part"), F.lit(0)).alias("pl"))
 
 
 def _segment(segments: Column) -> tuple[Column, Column]:
@@ -46,7 +46,7 @@ def _rule_segments(rules: DataFrame, segments: Column) -> DataFrame:
     """One row per segment of every target that is long enough."""
     cut = rules.where(F.col("tl") >= segments).withColumn("i", F.explode(F.sequence(F.lit(0), segments - 1)))
     start, size = _segment(segments)
-    return cut.withColumn("segment", F.substring("tb", start + 1, size))
+    return cut.withColumn("segment", known(F.substring("tb", start + 1, size)))
 
 
 def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Callable[[Column], tuple]) -> DataFrame:
@@ -66,7 +66,7 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
         .withColumn("shift", F.explode(F.sequence("low", "high")))
         .withColumn("at", start + F.col("shift"))
         .where((F.col("at") >= 0) & (F.col("at") + size <= F.col("pl")))
-        .select("chain_id", "part", "pb", "pl", "k", "tl", "i", F.substring("pb", F.col("at") + 1, size).alias("segment"))
+        .select("chain_id", "part", "pb", "pl", "k", "tl", "i", known(F.substring("pb", F.col("at") + 1, size)).alias("segment"))
     )
 
 
@@ -146,7 +146,7 @@ def _find_hamming(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
         parts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(profile.distances)])))
         .where(K("pl") >= segments).withColumn("tl", K("pl"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), segments - 1)))
-        .withColumn("segment", F.substring("pb", start + 1, size))
+        .withColumn("segment", known(F.substring("pb", start + 1, size)))
     )
     within = _mismatches(K("pb"), K("tb")) <= K("k")
     keyed = key_join(cut, _rule_segments(rules, segments), ["chain_id", "k", "tl", "i", "segment"],
@@ -191,7 +191,7 @@ def _find_in_text(touched: int, score) -> Callable:
         keys = cut.select("chain_id", "segment", "k", "tl", "tb", *payload).distinct()
         # the segment lengths in use; few, because they follow from target lengths and limits
         sizes = cut.select("chain_id", F.char_length("segment").alias("size")).distinct()
-        named = parts.select("chain_id", "part", _part_id(K("part")).alias("part_id"))
+        named = parts.select("chain_id", "part", known(_part_id(K("part"))).alias("part_id"))
         grams = (
             named.join(F.broadcast(sizes), "chain_id")
             .select("chain_id", "part_id", F.octet_length("part").alias("pl"),

@@ -18,21 +18,12 @@ from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import jaro, jaro_winkler
 from nearmark.functions.phonetic import match_rating_code, refined_soundex_code, soundex_code
-from nearmark.functions.text import characters, index_combinations, is_ascii, occurrence_tokens, position_tokens
+from nearmark.functions.text import characters, index_combinations, is_ascii, known, occurrence_tokens, position_tokens, rare_first
 from nearmark.operators.joins import hot_join, hot_keys, key_join, size_bound
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
 
 K = F.col
-# Letters from rare to frequent; the order only affects speed.
-RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
-
-
-def rare_first(tokens: Column) -> Column:
-    ranked = F.transform(tokens, lambda t: F.struct(F.instr(F.lit(RARE_FIRST), F.lower(F.left(t, F.lit(1)))), t.alias("t")))
-    return F.transform(F.array_sort(ranked), lambda r: r["t"])
-
-
 def _ceil(value: Column) -> Column:
     # a need that is a whole number must not be rounded up by floating-point noise
     return F.ceil(value - 1e-9).cast("int")
@@ -52,10 +43,15 @@ def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column
     lengths ``wa`` and ``wb`` of the items.
     """
     def weight(name: str) -> Column:
-        return F.octet_length(name) if weighted else F.lit(0)
-
-    left = left.withColumns({"a": F.size("tokens"), "wa": weight("item")})
-    right = right.withColumns({"b": F.size("tokens"), "wb": weight("other")})
+        return F.coalesce(F.octet_length(name), F.lit(0)) if weighted else F.lit(0)
+
+    # generated code would work the tokens out again for every row a join makes of an item; a value
+    # that comes out of explode is there already
+    left = left.withColumn("tokens", F.explode(F.array("tokens")))
+    right = right.withColumn("tokens", F.explode(F.array("tokens")))
+    # one token per character, so sizes need no tokens
+    left = left.withColumns({"a": F.coalesce(F.char_length("item"), F.lit(0)), "wa": weight("item")})
+    right = right.withColumns({"b": F.coalesce(F.char_length("other"), F.lit(0)), "wb": weight("other")})
     # which sizes can match at all, and how long a key is for them; bounded by the distinct sizes, squared
     sizes = (
         left.select("chain_id", "a", "wa").distinct()
@@ -70,7 +66,7 @@ def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column
         places = sizes.withColumn("at", F.explode(index_combinations(K(size) - K("need") + K("s"), K("s"))))
         rows = side.join(F.broadcast(places.drop("need", "s")), on)
         token = [F.get("tokens", F.get("at", F.lit(i))) for i in range(3)]
-        return rows.withColumn("key", F.concat_ws("\u0001", *token)).drop("tokens", "at")
+        return rows.withColumn("key", known(F.concat_ws("\u0001", *token))).drop("tokens", "at")
 
     joined = key_join(
         keyed(left, "a", ["chain_id", "a", "wa"]), keyed(right, "b", ["chain_id", "p", "b", "wb"]),
@@ -79,18 +75,18 @@ def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column
 
 
 def _distinct_targets(rules: DataFrame, p: str, item: Column) -> DataFrame:
-    return rules.select("chain_id", K(p).alias("p"), item.alias("other")).distinct()
+    return rules.select("chain_id", K(p).alias("p"), known(item).alias("other")).distinct()
 
 
 def _with_rules(pairs: DataFrame, rules: DataFrame, p: str, item: Column, bound: int) -> DataFrame:
     """Replace the right item by every rule that has it."""
-    named = rules.withColumns({"p": K(p), "other": item})
+    named = rules.withColumns({"p": K(p), "other": known(item)})
     return key_join(pairs, named, ["chain_id", "p", "other"], bound, by=["item"])
 
 
 def coded(parts: DataFrame, code: Column) -> tuple[DataFrame, DataFrame]:
     """Parts with their code as ``item``, and the distinct codes with the number of parts ``n``."""
-    named = parts.select("chain_id", "part", code.alias("item"))
+    named = parts.select("chain_id", "part", known(code).alias("item"))
     return named, named.groupBy("chain_id", "item").agg(F.count("*").alias("n"))
 
 
@@ -155,9 +151,9 @@ def _winkler_need(a: Column, b: Column, p: Column) -> Column:
 def _find_by_characters(need, score) -> Callable:
     def find(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
         bound = size_bound(profile, 60)
-        items = parts.select("chain_id", K("part").alias("item"), rare_first(occurrence_tokens(K("part"))).alias("tokens"))
+        items = parts.select("chain_id", known(K("part")).alias("item"), occurrence_tokens(K("part")).alias("tokens"))
         targets = _distinct_targets(rules, "match_percent_threshold", K("target")).withColumn(
-            "tokens", rare_first(occurrence_tokens(K("other"))))
+            "tokens", occurrence_tokens(K("other")))
         pairs = shared_token_pairs(items, targets, need, bound)
         # each string pair is scored once, however many rules share the target
         value = pairs.withColumn("value", score("item", "other")).where("value >= p")
@@ -274,9 +270,9 @@ def _rated(col: Column) -> Column:
 def _find_match_rating(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
     rules = rules.withColumn("p", F.lit(0))
     named, counted = coded(parts.where(_rated(K("part"))), match_rating_code(K("part")))
-    items = counted.drop("n").withColumn("tokens", rare_first(occurrence_tokens(K("item"))))
+    items = counted.drop("n").withColumn("tokens", occurrence_tokens(K("item")))
     targets = _distinct_targets(rules, "p", match_rating_code(K("target"))).withColumn(
-        "tokens", rare_first(occurrence_tokens(K("other"))))
+        "tokens", occurrence_tokens(K("other")))
     # every pair of codes is rated once
     pairs = shared_token_pairs(items, targets, _rating_need, size_bound(profile, 40), weighted=True)
     pairs = with_rating(pairs, "item", "other").where("agree").drop("agree")

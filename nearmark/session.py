@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A small table of distinct strings grows into many keys, so it must stay spread over all cores:
+    # without this, adaptive execution would merge it into one or two tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
