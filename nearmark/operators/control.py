@@ -98,7 +98,9 @@ def add_member(value: Column, key: str, member: Column) -> Column:
     """
     fields = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
     stripped = F.to_json(F.map_filter(fields, lambda k, _: k != key))
-    text = F.when(F.map_contains_key(fields, key), stripped).otherwise(value)
+    # most texts do not mention the key, and need no second parse to know it
+    has_key = value.contains(f'"{key}"') & F.map_contains_key(fields, key)
+    text = F.when(has_key, stripped).otherwise(value)
     text = F.regexp_replace(text, r"\A\s+|\s+\z", "")
     comma = F.when(text.rlike(r"\A\{\s*\}\z"), F.lit("")).otherwise(F.lit(","))
     return F.concat(

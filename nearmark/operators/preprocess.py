@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearmark.functions.domains import ascii_form, has_ace_prefix, unicode_form
@@ -18,6 +18,7 @@ from nearmark.functions.text import is_ascii
 from nearmark.operators.joins import BROADCAST_BYTES, table_bytes
 from nearmark.schemas import PART_METADATA
 from nearmark.sources.catalog import Catalog
+from nearmark.sources.exclusions import read_exclusion_file
 
 PART_COLUMNS = ["value", "chain_id", "part_ord", "part", *PART_METADATA]
 # Room for the pieces of one split inside part_ord.
@@ -97,12 +98,6 @@ def punycode_step(parts: DataFrame, encode: bool = True, decode: bool = True, ke
     return plain.select(*PART_COLUMNS).unionByName(rows.select(*PART_COLUMNS))
 
 
-def read_exclusion_file(spark: SparkSession, path: str) -> DataFrame:
-    """One entry per line."""
-    return spark.read.option("lineSep", "\n").text(path).select(
-        F.regexp_replace("value", r"\r\z", "").alias("entry")).distinct()
-
-
 def drop_listed(parts: DataFrame, entries: DataFrame, kind: str = "left_anti") -> DataFrame:
     """Drop parts equal to an entry of their chain (``left_semi`` gives the dropped ones)."""
     listed = entries.select("chain_id", F.col("entry").alias("part")).distinct()

@@ -81,3 +81,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that comes in fewer partitions than there are cores; others stay as they are.
+
+    For inputs that are small on disk and grow when they are taken apart.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

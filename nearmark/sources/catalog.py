@@ -185,7 +185,7 @@ def read_catalog_files(spark: SparkSession, path: str) -> DataFrame:
     as_array = F.try_parse_json("text")
     run = F.concat(F.lit("["), F.regexp_replace("text", r"\}[ \t\r]*\n\s*\{", "},{"), F.lit("]"))
     return files.select(
-        "group_source",
+        "group_source", F.lit(0).cast("bigint").alias("first_ord"),
         F.coalesce(
             F.try_variant_get(as_array, "$", "array<variant>"),
             F.try_variant_get(F.try_parse_json(run), "$", "array<variant>"),
@@ -198,12 +198,14 @@ def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
     source = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
     return lines.select(
-        source.alias("group_source"), F.try_parse_json("value").alias("v")
-    ).select("group_source", F.when(F.col("v").isNotNull(), F.array("v")).alias("groups"))
+        source.alias("group_source"), F.monotonically_increasing_id().alias("first_ord"),
+        F.try_parse_json("value").alias("v"),
+    ).select("group_source", "first_ord", F.when(F.col("v").isNotNull(), F.array("v")).alias("groups"))
 
 
 def _explode_groups(files: DataFrame) -> DataFrame:
-    groups = files.select("group_source", F.posexplode("groups").alias("group_ord", "g"))
+    groups = files.select("group_source", "first_ord", F.posexplode("groups").alias("at", "g")).withColumn(
+        "group_ord", F.col("first_ord") + F.col("at"))
     problem = _first(
         F.when(~F.schema_of_variant("g").startswith("OBJECT<"), F.lit("group is not an object")),
         _unknown(_keys("g"), _names(GROUP_KEYS), "group"),
@@ -414,7 +416,7 @@ def catalog_from_targets(targets: DataFrame, column: str, rules: list[Mapping],
     step_array = _constant_steps(steps)
     sets = _identified(
         targets.where(F.col(column).isNotNull()).select(F.col(column).alias("target")).distinct().select(
-            F.lit("").alias("group_source"), F.lit(0).alias("group_ord"), F.lit(group).alias("group_name"),
+            F.lit("").alias("group_source"), F.lit(0).cast("bigint").alias("group_ord"), F.lit(group).alias("group_name"),
             F.lit(0).alias("set_ord"), F.col("target").alias("rule_set"), "target", step_array.alias("steps"),
         )
     )

@@ -45,19 +45,15 @@ def is_object(variant: Column) -> Column:
     return F.schema_of_variant(variant).startswith("OBJECT<")
 
 
-def string_field(variant: Column, path: str) -> Column:
-    """The string at ``path``; NULL when it is missing or is any other JSON type."""
-    leaf = F.try_variant_get(variant, compile_path(path), "variant")
-    # checked before the cast, which would also turn numbers and booleans into strings
-    return F.when(
-        is_object(variant) & (F.schema_of_variant(leaf) == "STRING"),
-        F.try_variant_get(variant, compile_path(path), "string"),
-    )
-
-
 def with_field(records: DataFrame, path: str, name: str = "name") -> DataFrame:
-    """Add the matched string; it is NULL for records that cannot be used."""
-    return records.withColumn(name, string_field(parsed(F.col("value")), path))
+    """Add the string at ``path`` of each record; NULL when it is missing or is any other JSON type."""
+    path = compile_path(path)
+    # one column per step: the text is parsed once
+    found = records.withColumn("variant_", parsed(F.col("value"))).withColumn(
+        "leaf_", F.when(is_object(F.col("variant_")), F.try_variant_get("variant_", path, "variant")))
+    # the type is checked before the cast, which would also turn numbers and booleans into strings
+    text = F.when(F.schema_of_variant("leaf_") == "STRING", F.try_variant_get("leaf_", "$", "string"))
+    return found.withColumn(name, text).drop("variant_", "leaf_")
 
 
 def usable(records: DataFrame, path: str, name: str = "name") -> DataFrame:

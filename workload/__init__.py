@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rules"]
+MODULES = ["rules", "records", "parts", "results"]
 
 
 def _collect(attribute: str) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmark.plans.match import distinct_values
+from nearmark.session import dealt
 from nearmark.sources.catalog import Catalog, catalog_from_targets
 from nearmark.sources.records import records_from
 
@@ -16,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows are long texts."""
+    return dealt(table(spark, sf_dir, name).select(*columns))
+
+
 def word_rows(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """Every word of every text."""
-    return table(spark, sf_dir, name).select(F.explode(F.split("text", WORD_BREAK)).alias("word")).where("word <> ''")
+    return texts(spark, sf_dir, name, "text").select(F.explode(F.split("text", WORD_BREAK)).alias("word")).where("word <> ''")
 
 
 def words(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -50,7 +56,7 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``domain``: host names made of the distinct words of each language, and the page hosts."""
     made = (
-        table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", WORD_BREAK)).alias("word"))
+        texts(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(F.split("text", WORD_BREAK)).alias("word"))
         .where("word <> ''").select(F.concat_ws(".", "word", "lang", F.lit("example.com")).alias("domain"))
     )
     return made.unionByName(hosts(spark, sf_dir).select(F.col("host").alias("domain"))).distinct()
@@ -63,7 +69,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per document and word, so that most strings repeat."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", WORD_BREAK)).alias("at", "word")).where("word <> ''")
     return records_from(rows, "documents", "doc_id", "at", F.col("word").alias("name"))
 

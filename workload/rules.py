@@ -10,18 +10,9 @@ from nearmark.plans.match import match_targets
 from nearmark.sources.catalog import Catalog, catalog_from_rules, catalog_from_targets
 from workload import sql
 from workload.inputs import catalog, rule, table, targets, words
+from workload.registry import registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def found(spark: SparkSession, sf_dir: str, rules: Catalog, *columns, options: Options = Options()) -> DataFrame:
@@ -300,15 +291,19 @@ def bitflip_any_case_join(spark, sf_dir):
     return found(spark, sf_dir, catalog(spark, sf_dir, rule("bitflip", case_sensitive=False)))
 
 
-@query("regex_join", f"""WITH {sql.WORDS}, {sql.targets(5, True)},
-    p AS (SELECT target, '^.?' || regexp_replace(target, '[^A-Za-z]', '.', 'g') || '(s|ed|ing)?$' AS pattern FROM t
-          UNION ALL SELECT target, '(?i)' || regexp_replace(target, '[^A-Za-z]', '.', 'g') || '$' AS pattern FROM t WHERE strlen(target) = 7)
-    SELECT word, pattern FROM w JOIN p ON regexp_matches(word, pattern)""")
+@query("regex_join", f"""WITH {sql.WORDS}, {sql.targets(5)},
+    p AS (SELECT target, '^.?' || target || '(s|ed|ing)?$' AS suffixed, '(?i)' || target || '$' AS ending FROM t
+          WHERE regexp_matches(target, '^[A-Za-z]+$')),
+    stems AS (SELECT word, word AS stem FROM w UNION SELECT word, substr(word, 2) FROM w),
+    cut AS (SELECT word, stem FROM stems UNION SELECT word, left(stem, -1) FROM stems WHERE suffix(stem, 's')
+          UNION SELECT word, left(stem, -2) FROM stems WHERE suffix(stem, 'ed')
+          UNION SELECT word, left(stem, -3) FROM stems WHERE suffix(stem, 'ing'))
+    SELECT DISTINCT word, suffixed AS pattern FROM cut JOIN p ON stem = target
+    UNION ALL SELECT word, ending FROM w JOIN p ON strlen(target) = 7 AND right(lower(word), 7) = lower(target)""")
 def regex_join(spark, sf_dir):
-    literal = F.regexp_replace("target", "[^A-Za-z]", ".")
-    long = targets(spark, sf_dir, 5, True)
-    patterns = long.select("target", F.concat(F.lit("^.?"), literal, F.lit("(s|ed|ing)?$")).alias("pattern")).unionByName(
-        long.where("octet_length(target) = 7").select("target", F.concat(F.lit("(?i)"), literal, F.lit("$")).alias("pattern")))
+    plain = targets(spark, sf_dir, 5).where(F.col("target").rlike("^[A-Za-z]+$"))
+    patterns = plain.select("target", F.concat(F.lit("^.?"), "target", F.lit("(s|ed|ing)?$")).alias("pattern")).unionByName(
+        plain.where("octet_length(target) = 7").select("target", F.concat(F.lit("(?i)"), "target", F.lit("$")).alias("pattern")))
     rules = catalog_from_rules(patterns.select(
         F.lit("patterns").alias("group_name"), F.col("pattern").alias("rule_set"), "target", F.lit(0).alias("rule_idx"),
         F.lit("regex").alias("rule_type"), "pattern"))
