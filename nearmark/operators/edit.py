@@ -35,6 +35,10 @@ def _part_bytes(parts: DataFrame) -> DataFrame:
         "chain_id", "part", byte_string(F.col("part")).alias("pb"), F.coalesce(F.octet_length("part"), F.lit(0)).alias("pl"))
 
 
+def _sorted_bytes(col: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(col, "")), "")
+
+
 def _segment(segments: Column) -> tuple[Column, Column]:
     """Start and length of segment ``i`` of a target of length ``tl``."""
     start = F.floor(F.col("i") * F.col("tl") / segments).cast("int")
@@ -66,7 +70,7 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
         .withColumn("shift", F.explode(F.sequence("low", "high")))
         .withColumn("at", start + F.col("shift"))
         .where((F.col("at") >= 0) & (F.col("at") + size <= F.col("pl")))
-        .select("chain_id", "part", "pb", "pl", "k", "tl", "i", known(F.substring("pb", F.col("at") + 1, size)).alias("segment"))
+        .select(*parts.columns, "k", "tl", "i", known(F.substring("pb", F.col("at") + 1, size)).alias("segment"))
     )
 
 
@@ -81,7 +85,6 @@ def _short_pairs(parts: DataFrame, rules: DataFrame, profile: Row, segments: Col
 
 def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int, shifts, condition: Column) -> DataFrame:
     """All pairs that may be within the limit and pass ``condition``, each once."""
-    parts, rules = _part_bytes(parts), _target_bytes(rules)
     segments = touched * K("k") + 1
     keyed = key_join(
         _part_segments(parts, profile, segments, shifts), _rule_segments(rules, segments),
@@ -106,6 +109,7 @@ def _even_shifts(delta: Column) -> tuple[Column, Column]:
 
 def _find_levenshtein(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
     within = F.expr("levenshtein(pb, tb, k) >= 0")
+    parts, rules = _part_bytes(parts), _target_bytes(rules)
     pairs = _near_pairs(parts, rules, profile, 1, _levenshtein_shifts, within)
     return pairs.select("*", *result_columns(match=F.lit(True), distance=F.levenshtein("pb", "tb")))
 
@@ -124,9 +128,15 @@ def _score_levenshtein(pairs: DataFrame, options: Options) -> DataFrame:
 
 
 def _find_damerau(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
-    # a swap is two plain edits, so the plain distance bounds the pairs worth sending to Python
-    possible = F.expr("levenshtein(pb, tb, 2 * k) >= 0")
-    pairs = _near_pairs(parts, rules, profile, 2, _even_shifts, possible)
+    # t swaps cost t but may be 2t plain edits, so the plain distance is at most 2k, and a pair at plain
+    # distance d > k has at most 2k - d edits that are no swaps. Only those change the sorted bytes, by at
+    # most two each. What passes both tests is worth sending to Python.
+    parts, rules = _part_bytes(parts), _target_bytes(rules)
+    parts = parts.withColumn("ps", F.explode(F.array(_sorted_bytes(K("pb")))))
+    rules = rules.withColumn("ts", _sorted_bytes(K("tb")))
+    possible = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and (levenshtein(pb, tb, k) >= 0 or
+        levenshtein(ps, ts) <= 2 * (2 * k - levenshtein(pb, tb)))""")
+    pairs = _near_pairs(parts, rules, profile, 2, _even_shifts, possible).drop("ps", "ts")
     scored = pairs.withColumn("distance", osa("part", from_byte_string(K("tb")))).where("distance <= k")
     return scored.withColumnRenamed("distance", "d").select("*", *result_columns(match=F.lit(True), distance=K("d")))
 
