@@ -49,7 +49,9 @@ def test_vectors_of_other_rules(spark):
                      "192.168.0.30", "192.168.1.30"])
     assert set(found) == {
         ("wwwngoogle.com", 0), ("wwwngoogle.com", 1), ("wwwngoogle.com", 2), ("www.googlu.com", 0), ("www.googlu.com", 1),
-        ("WWWNGOOGLE.COM", 1), ("www.google.com", 1), ("www.google.com", 3), ("192.168.0.30", 4)}
+        ("WWWNGOOGLE.COM", 1), ("www.google.com", 1),
+        # a pattern may be found anywhere, and $ is not before a final line break
+        ("www.google.com", 3), ("wwwngoogle.com", 3), ("192.168.0.30", 4)}
     found = results(spark, "Smythers", [rule("soundex", minimum_similarity=3),
                                         rule("soundex", minimum_similarity=3, soundex_type="refined")], ["Smithers", "čest"], report_all=True)
     assert found["Smithers", 0].similarity == 4 and found["Smithers", 1].similarity == 8
