@@ -255,10 +255,13 @@ def with_rating(pairs: DataFrame, left: str, right: str) -> DataFrame:
     # code lengths count bytes, remainders count characters
     total = F.octet_length(left) + F.octet_length(right)
     near = F.abs(F.octet_length(left) - F.octet_length(right)) < 3
+    # a filter on the result would be pushed down with every expression written out; not through explode
+    rests = F.struct(rest(left, right).alias("left_"), rest(right, left).alias("right_"))
     return (
-        pairs.withColumns({"left_": rest(left, right), "right_": rest(right, left)})
+        pairs.withColumn("rests_", F.explode(F.array(rests)))
+        .withColumns({"left_": K("rests_.left_"), "right_": K("rests_.right_")})
         .withColumn("agree", near & (F.abs(6 - remaining) >= _minimum_rating(total)))
-        .drop("left_", "right_")
+        .drop("left_", "right_", "rests_")
     )
 
 
@@ -285,7 +288,8 @@ def _find_match_rating(parts: DataFrame, rules: DataFrame, profile: Row, options
 
 
 def _score_match_rating(pairs: DataFrame, options: Options) -> DataFrame:
-    coded_pairs = pairs.withColumns({"one": match_rating_code(K("part")), "two": match_rating_code(K("target"))})
+    coded_pairs = pairs.withColumn("one", F.explode(F.array(match_rating_code(K("part"))))).withColumn(
+        "two", F.explode(F.array(match_rating_code(K("target")))))
     match = F.when(_rated(K("part")), K("agree")).otherwise(K("part") == K("target"))
     return with_rating(coded_pairs, "one", "two").select("*", *result_columns(match=match)).drop("one", "two", "agree")
 
