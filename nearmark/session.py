@@ -9,14 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A repeated key in a JSON object keeps its last value instead of making the whole record unparsable.
+# What the results or the join strategies depend on; a user's session keeps its own partition sizes.
 SETTINGS = {
+    # A repeated key in a JSON object keeps its last value instead of making the whole record unparsable.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # A small table of distinct strings grows into many keys, so it must stay spread over all cores:
-    # without this, adaptive execution would merge it into one or two tasks.
+}
+# For one machine only: a small table of distinct strings grows into many keys, so it must stay spread over
+# all cores; at the default sizes adaptive execution would merge it into one or two tasks.
+LOCAL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
@@ -52,7 +55,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | LOCAL_SETTINGS).items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
