@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmark.llm import chat, langid, mixing, quality, secrets
+from nearmark.llm import chat, langid, mixing, neardup, quality, secrets
 from nearmark.session import cut
 
 QUERIES: dict = {}
@@ -39,6 +39,30 @@ def language_id(spark, sf_dir):
         "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+_NEAR = r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (
+      SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))
+        END AS shingles FROM w),
+    x AS (SELECT doc_id, len(shingles) AS n, hash(shingle) AS shingle FROM (SELECT doc_id, shingles, unnest(shingles) AS shingle FROM s)),
+    links AS (
+      SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b USING (shingle) WHERE a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 85
+        AND b.n * 100 >= a.n * 85
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reach AS (SELECT doc_id, doc_id AS node FROM s UNION SELECT reach.doc_id, v FROM reach JOIN links ON u = node)
+    SELECT s.doc_id, any_value(len(shingles))::BIGINT AS n_shingles, min(node) AS component_id, s.doc_id = min(node) AS kept
+    FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id"""
+
+
+@query("op3_near_duplicates", _NEAR)
+def near_duplicates(spark, sf_dir):
+    return neardup.cluster(documents(spark, sf_dir, "doc_id", "text"), settings=neardup.Settings(words=3, percent=85)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op4_secret_scan")
 def secret_scan(spark, sf_dir):
     found = secrets.scan(documents(spark, sf_dir, "doc_id", "text")).drop("text")
