@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmark.llm import chat, langid, mixing, neardup, quality, secrets
+from nearmark.llm import chat, langid, mixing, neardup, quality, recompression, secrets, suffixes
 from nearmark.session import cut
 
 QUERIES: dict = {}
@@ -84,6 +84,11 @@ def source_mix(spark, sf_dir):
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op8_repeated_bytes")
+def repeated_bytes(spark, sf_dir):
+    return suffixes.summary(suffixes.repeated_bytes(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -110,3 +115,21 @@ def chat_format(spark, sf_dir):
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.char_length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op10_repeated_words", r"""
+    WITH w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+      FROM documents),
+    starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+    windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS seen FROM starts),
+    twice AS (SELECT seen FROM windows GROUP BY seen HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, i + j AS place FROM windows JOIN twice USING (seen), (SELECT unnest(range(35)) AS j)),
+    spread AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS body, count(*) AS n FROM spread ANTI JOIN gone USING (doc_id, place)
+      GROUP BY doc_id)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+      sha256(coalesce(body, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)""")
+def repeated_words(spark, sf_dir):
+    return recompression.summary(recompression.repeated_words(documents(spark, sf_dir, "doc_id", "text")))
