@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmark.llm import chat, langid, mixing, neardup, quality, recompression, secrets, suffixes
+from nearmark.llm import chat, decontaminate, langid, mixing, neardup, quality, recompression, secrets, suffixes, warc
 from nearmark.session import cut
 
 QUERIES: dict = {}
@@ -39,6 +39,14 @@ def language_id(spark, sf_dir):
         "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query("op2_decontamination")
+def decontamination(spark, sf_dir):
+    """One row per document and benchmark passage found in it."""
+    found = decontaminate.contaminations(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("contamination").alias("hit")).select(
+        "doc_id", "hit.item_id", "hit.start", "hit.end", "hit.edits")
+
+
 _NEAR = r"""
     WITH RECURSIVE w AS (
       SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -78,6 +86,12 @@ def quality_rules(spark, sf_dir):
     return quality.score(featured).select("doc_id", *quality.COUNTS, "base_failed", "kept", "posterior")
 
 
+@query("op6_warc")
+def warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_place")
+
+
 @query("op7_source_mix")
 def source_mix(spark, sf_dir):
     mixed, _ = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
