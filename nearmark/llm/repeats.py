@@ -204,9 +204,11 @@ def repeated_spans(docs: DataFrame, method: Method, key: str = "doc_id", text: s
 
     marks = cut(body.mapInArrow(
         _mark(method), "doc long, h int, name long, digest long, first int, last int, anchor int"), "zones")
-    names = marks.groupBy("name").agg(
-        F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
-    shared = cut(marks.join(names.select("name", (F.col("low") != F.col("high")).alias("several")), "name"), "shared-zones")
+    # Written before it meets the zones, so that the join can split a hot name.
+    names = cut(marks.groupBy("name").agg(
+        F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1").select(
+        "name", (F.col("low") != F.col("high")).alias("several")), "shared-names")
+    shared = cut(marks.join(names, "name"), "shared-zones")
 
     plain = shared.where("NOT several").select(*ROW, "first", "last")
     several = shared.where("several")
