@@ -8,8 +8,10 @@
    similarity reaches the threshold, under a uniform prior, is bounded: with m of n equal values it is
    P(Binomial(n + 1, t) <= m). A pair below the chosen miss chance is dropped, the rest is checked on the full sets.
 4. Pairs inside a component change nothing, so a bucket is never expanded into all its pairs: in each round every class
-   is compared with one pivot of its buckets, components are merged, and only pairs of different components go on. The
-   last round takes all pairs that are still between different components.
+   is compared with one pivot of its buckets, components are merged, and only pairs of different components go on.
+5. The last round takes the classes of the buckets that still hold several components, and of their pairs those that
+   share a rare shingle where similar sets must (prefix and place of the shingle in rarest-first order). That rules out
+   most of the many classes that share buckets with a large group but are far from each of its members.
 
 Defined results: texts are lower-cased A-Z; a text with fewer words than a shingle is one shingle; a null or wordless
 text has no shingles and is linked with nothing; a null id is linked with nothing and has no component; rows that share
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearmark.llm.graph import components
@@ -41,7 +43,7 @@ class Settings:
     band_miss: float = 1e-6  # chance that a pair at the threshold meets in no bucket
     batch: int = 20  # signature values compared at a time
     prune_miss: float = 1e-5  # posterior chance of a link below which a pair is dropped
-    pivot_rounds: int = 3
+    pivot_rounds: int = 2
 
     @property
     def threshold(self) -> float:
@@ -158,6 +160,16 @@ def _linked(settings: Settings):
     return run
 
 
+def _shingle_rows(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, shingles, bounds in shingle_sets(batch.column(1), settings.words):
+                owner = pa.array(np.repeat(np.arange(len(bounds) - 1) + first, np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(shingles.view(np.int64))], ["node", "shingle"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The links among pairs ``a, b`` of classes."""
     pairs = cut(pairs, "pairs")
@@ -178,6 +190,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, settings:
     return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(_linked(settings), "a long, b long"), "links")
 
 
+def _open_pairs(nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of classes of different components that may be links, from ``node, part`` of the open buckets.
+
+    The shingles of a class are put in order, the rarest among these classes first. Two classes that are similar enough
+    share one of their first n - ceil(t * n) + 1 shingles, and the first one they share leaves enough shingles after it in
+    both. Of each shingle's classes only those outside its largest component look for partners.
+    """
+    t = settings.percent
+    nodes = cut(nodes, "open-nodes")
+    body = narrowed(texts, nodes, ["node"])
+    rows = cut(body.select("node", "text").mapInArrow(_shingle_rows(settings), "node long, shingle long"), "open-shingles")
+    often = cut(rows.groupBy("shingle").agg(F.count("*").alias("often")), "shingle-counts")
+    ranked = rows.join(often, "shingle").withColumn(
+        "place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))).withColumn(
+        "n", F.count("*").over(Window.partitionBy("node")))
+    # Rows that share an id have several texts under one node; all their shingles count, and no place rules them out.
+    texts_of = body.groupBy("node").agg((F.count("*") == 1).alias("single"))
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("members"))
+    placed = nodes.join(sizes, "part").join(texts_of, "node")
+    members = cut(ranked.join(placed, "node").where(
+        (F.col("often") > 1) & (~F.col("single") | (F.col("place") <= F.col("n") - F.ceil(F.col("n") * t / 100) + 1))).select(
+        "shingle", "node", "part", "members", "place", "n", "single"), "prefixes")
+    heads = cut(members.groupBy("shingle").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("members", "part")).alias("largest")).where(
+        "low <> high").select("shingle", F.col("largest.part").alias("largest")), "prefix-heads")
+    held = members.join(heads, "shingle")
+    other = held.select("shingle", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("part", "place", "n", "single")])
+    after = 1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    enough = ((100 * F.least("n", "n_b") >= t * F.greatest("n", "n_b")) & ((100 + t) * after >= t * (F.col("n") + F.col("n_b"))))
+    may = ((F.col("part") != F.col("part_b")) & ((F.col("part_b") == F.col("largest")) | (F.col("part") < F.col("part_b")))
+           & (enough | ~F.col("single") | ~F.col("single_b")))
+    return held.where("part <> largest").join(other, "shingle").where(may).select(
+        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept`` for each row; ids of classes and components are least ids."""
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -196,32 +243,35 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", settings:
     keys = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
     banded = cut(classes.select("node", F.explode(keys).alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    live = cut(banded.join(shared.select("band"), "band").distinct(), "live-bands")
+    # Tables of few rows per band are written before they meet the bands, so that the join can split a hot band.
+    shared = cut(banded.distinct().groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    live = cut(banded.join(shared, "band").distinct(), "live-bands")
     texts = body.withColumnRenamed("doc_id", "node")
 
-    parts = cut(live.select("node").distinct().withColumn("part", F.col("node")), "parts")
+    # The class that shares its bands with the most others is the likeliest to be close to them, so it is the pivot
+    # first; later rounds shake the order.
+    parts = cut(live.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("part", F.col("node")), "parts")
     for round_no in range(settings.pivot_rounds + 1):
-        placed = live.join(parts, "node")
-        spread = placed.groupBy("band").agg(
+        placed = live.drop("n").join(parts, "node")
+        chance = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1000)) / 2000
+        shaken = F.lit(1.0) if not round_no else F.lit(1.0) - chance
+        spread = cut(placed.groupBy("band").agg(
             F.min("part").alias("low"), F.max("part").alias("high"),
-            F.min(F.struct(F.xxhash64("node", F.lit(round_no)).alias("at"), "node", "part")).alias("pivot"),
-        ).where("low <> high")
+            F.min(F.struct((-F.col("weight") * shaken).alias("at"), "node", "part")).alias("pivot"),
+        ).where("low <> high").select("band", "pivot"), "open-bands")
         if round_no < settings.pivot_rounds:
             met = placed.join(spread, "band").where(F.col("part") != F.col("pivot.part")).groupBy(
                 "node", F.col("pivot.node").alias("pivot")).agg(F.count("*").alias("bands"))
             best = met.groupBy("node").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("pivot"))).alias("best"))
             pairs = best.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b"))
         else:
-            open_bands = cut(placed.join(spread.select("band"), "band"), "open-bands")
-            other = open_bands.select("band", F.col("node").alias("b"), F.col("part").alias("part_b"))
-            pairs = open_bands.join(other, "band").where("part < part_b").select(
-                F.col("node").alias("a"), "b").distinct()
+            pairs = _open_pairs(placed.join(spread.select("band"), "band").select("node", "part").distinct(), texts, settings)
         links = _verified(pairs, classes, texts, settings)
         joined = links.join(parts.select(F.col("node").alias("a"), F.col("part").alias("u")), "a").join(
             parts.select(F.col("node").alias("b"), F.col("part").alias("v")), "b").select("u", "v")
         roots = components(joined).withColumnRenamed("node", "part")
-        parts = cut(parts.join(roots, "part", "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
+        parts = cut(parts.join(roots, "part", "left").select(
+            "node", "weight", F.coalesce("root", "part").alias("part")), "parts")
 
     moved = parts.where("node <> part")
     return members.join(moved, "node", "left").select(
@@ -239,8 +289,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", settin
         return kept
     # Rows that share an id are one document: the first by content stays.
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
     name = "_row_of_id"
     first = narrowed(kept, twice, [key]).withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name)
