@@ -65,19 +65,21 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.char_length(F.translate(body, characters, ""))
 
     lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.trim(F.translate(line, "\t\x0b\f\r", ""))) > 0)
-    counted = docs.drop(*FEATURES).select("*", F.transform(F.array(lines), lambda held: F.struct(
+    # Each generator is evaluated once per row; fields read from a plain expression would each evaluate it again.
+    counted = docs.drop(*FEATURES).select("*", F.explode(F.transform(F.array(lines), lambda held: F.struct(
         F.size(held).cast("long").alias("n"),
-        (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("dup")))[0].alias("_lines"),
-        F.expr(f"""transform(array(array_remove(split(coalesce(cast({_quoted(text)} AS STRING), ''),
+        (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("dup")))).alias("_lines")).select(
+        "*", F.explode(F.expr(f"""transform(array(array_remove(split(coalesce(cast({_quoted(text)} AS STRING), ''),
             '[\\\\x20\\\\x09-\\\\x0D]+'), '')),
-            w -> named_struct('n', cast(size(w) AS BIGINT), 'repeated', {_REPEATED}))[0]""").alias("_words"))
-    return counted.select(
-        "*", F.col("_words.n").alias("n_words"), without(" \t\n\x0b\f\r").cast("long").alias("word_chars"),
+            w -> named_struct('n', cast(size(w) AS BIGINT), 'repeated', {_REPEATED}))""")).alias("_words"))
+    counts = F.struct(
+        F.col("_words.n").alias("n_words"), without(" \t\n\x0b\f\r").cast("long").alias("word_chars"),
         (F.char_length(body) - without("#*$%&|<>")).cast("long").alias("n_symbols"),
         F.col("_lines.dup").alias("n_dup_lines"), F.col("_words.repeated").alias("n_repeat_words"),
         F.col("_lines.n").alias("n_lines"),
-        (F.char_length(body) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
-    ).drop("_lines", "_words")
+        (F.char_length(body) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"))
+    return counted.select("*", F.explode(F.array(counts)).alias("_counts")).select(
+        "*", *[F.col(f"_counts.{c}").alias(c) for c in FEATURES]).drop("_lines", "_words", "_counts")
 
 
 def _quoted(name: str) -> str:
