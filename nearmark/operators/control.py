@@ -29,7 +29,7 @@ def without_exit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("early_match_exit", F.lit(None).cast("boolean"))
 
 
-# Metadata keys of each rule type; the ones after "?" are left out when they are NULL.
+# Metadata keys of each rule type; those in the second list are left out when they are NULL.
 METADATA_KEYS = {
     "levenshtein": ([], ["distance"]),
     "damerau_levenshtein": ([], ["distance"]),
@@ -98,8 +98,9 @@ def add_member(value: Column, key: str, member: Column) -> Column:
     """
     fields = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
     stripped = F.to_json(F.map_filter(fields, lambda k, _: k != key))
-    # most texts do not mention the key, and need no second parse to know it
-    has_key = value.contains(f'"{key}"') & F.map_contains_key(fields, key)
+    # a text with neither the key as it is nor any escape cannot have it, and needs no second parse to know it
+    mentioned = value.contains(f'"{key}"') | value.contains("\\")
+    has_key = mentioned & F.map_contains_key(fields, key)
     text = F.when(has_key, stripped).otherwise(value)
     text = F.regexp_replace(text, r"\A\s+|\s+\z", "")
     comma = F.when(text.rlike(r"\A\{\s*\}\z"), F.lit("")).otherwise(F.lit(","))

@@ -109,7 +109,6 @@ def _score_cidr(pairs: DataFrame, options: Options) -> DataFrame:
 # --- regular expressions --------------------------------------------------------------------------------
 
 GRAM = 3
-FEW_PATTERNS = 16
 
 
 @F.pandas_udf(StringType())
@@ -134,9 +133,6 @@ def regex_hits(parts: DataFrame, patterns: DataFrame) -> DataFrame:
                          F.min(F.char_length("literal")).alias("shortest")).first()
     bound = (sized.n or 0) * (6 * (sized.target_bytes or 0) + ROW_OVERHEAD)
     parts = parts.select("chain_id", "part")
-    if sized.n <= FEW_PATTERNS:
-        # trying so few is cheaper than looking texts up
-        return _try_all(parts, distinct).select("chain_id", "part", "pattern")
     keyed = distinct.where(F.char_length("literal") >= GRAM).withColumn("gram", F.left("literal", F.lit(GRAM)))
     grams = parts.withColumn("gram", F.explode(F.array_distinct(substrings(K("part"), F.lit(GRAM)))))
     near = key_join(grams, keyed, ["chain_id", "gram"], bound, F.expr("contains(part, literal) and part rlike java"))

@@ -1,7 +1,7 @@
 """Preprocessor steps: split a value into parts, drop known parts, convert internationalised names.
 
 A parts table has one row per part: ``value, chain_id, part_ord, part`` plus the
-metadata columns. A step is a DataFrame transform; a chain is a left fold of
+metadata columns. ``part_ord`` is an array with a position for each step that makes parts, so it sorts. A step is a DataFrame transform; a chain is a left fold of
 steps. Chains with the same kinds of steps run in one plan, because the lists
 inside the steps are data that is joined in.
 """
@@ -21,10 +21,6 @@ from nearmark.sources.catalog import Catalog
 from nearmark.sources.exclusions import read_exclusion_file
 
 PART_COLUMNS = ["value", "chain_id", "part_ord", "part", *PART_METADATA]
-# Room for the pieces of one split inside part_ord.
-_SPLIT_ROOM = 1 << 21
-# Patterns up to this many bytes are compiled into one alternation.
-_INLINE_PATTERN_BYTES = 1 << 16
 
 
 def start_parts(values: DataFrame, chain_ids: list[int]) -> DataFrame:
@@ -36,7 +32,7 @@ def start_parts(values: DataFrame, chain_ids: list[int]) -> DataFrame:
         table = values.sparkSession.createDataFrame([(0, c) for c in chain_ids], "one int, chain_id bigint")
         rows = values.select("value", F.lit(0).alias("one")).join(F.broadcast(table), "one")
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in PART_METADATA.items()]
-    return rows.select("value", "chain_id", F.lit(0).cast("bigint").alias("part_ord"), F.col("value").alias("part"), *empty)
+    return rows.select("value", "chain_id", F.array().cast("array<int>").alias("part_ord"), F.col("value").alias("part"), *empty)
 
 
 def labels(text: Column, ignore_last: bool) -> Column:
@@ -49,7 +45,7 @@ def split_step(parts: DataFrame, ignore_tld: bool = False) -> DataFrame:
     """One row per label; the position counts kept labels from 0."""
     rows = parts.select("value", "chain_id", "part_ord", "punycode", F.posexplode(labels(F.col("part"), ignore_tld)))
     return rows.select(
-        "value", "chain_id", (F.col("part_ord") * _SPLIT_ROOM + F.col("pos")).alias("part_ord"),
+        "value", "chain_id", F.array_append("part_ord", F.col("pos")).alias("part_ord"),
         F.col("col").alias("part"), F.col("col").alias("split_string"), F.col("pos").alias("split_position"), "punycode",
     )
 
@@ -67,7 +63,7 @@ def punycode_step(parts: DataFrame, encode: bool = True, decode: bool = True, ke
 
     flag = ace if encode else F.col("punycode")
     plain = parts.where(~converting).select(
-        *base, (F.col("part_ord") * 3 + 2).alias("part_ord"), "part", flag.alias("punycode"))
+        *base, F.array_append("part_ord", F.lit(2)).alias("part_ord"), "part", flag.alias("punycode"))
 
     converted = parts.where(converting).select(
         *base, "part_ord", "part",
@@ -94,7 +90,7 @@ def punycode_step(parts: DataFrame, encode: bool = True, decode: bool = True, ke
     )
     rows = converted.select("value", "chain_id", "part_ord", F.explode(items).alias("x")).select(
         "value", "chain_id", "x.split_string", "x.split_position",
-        (F.col("part_ord") * 3 + F.col("x.i")).alias("part_ord"), "x.part", "x.punycode")
+        F.array_append("part_ord", F.col("x.i")).alias("part_ord"), "x.part", "x.punycode")
     return plain.select(*PART_COLUMNS).unionByName(rows.select(*PART_COLUMNS))
 
 
@@ -112,18 +108,8 @@ def drop_listed(parts: DataFrame, entries: DataFrame, kind: str = "left_anti") -
 
 def drop_matching(parts: DataFrame, entries: DataFrame, kind: str = "left_anti") -> DataFrame:
     """Drop parts in which a pattern of their chain is found."""
-    from nearmark.functions.patterns import portable
     from nearmark.operators.exact import regex_hits
 
-    if table_bytes(entries, ["entry"]) <= _INLINE_PATTERN_BYTES:
-        by_chain: dict[int, list[str]] = {}
-        for row in entries.select("chain_id", "entry").collect():
-            by_chain.setdefault(row.chain_id, []).append(row.entry)
-        found = F.lit(False)
-        for chain_id, patterns in by_chain.items():
-            one = "|".join(f"(?:{portable(p)})" for p in sorted(patterns))
-            found = F.when(F.col("chain_id") == chain_id, F.col("part").rlike(one)).otherwise(found)
-        return parts.where(found if kind == "left_semi" else ~found)
     hits = regex_hits(parts.select("chain_id", "part").distinct(), entries.withColumnRenamed("entry", "pattern"))
     excluded = hits.select("chain_id", F.col("part").alias("entry")).distinct()
     return drop_listed(parts, excluded, kind)

@@ -193,13 +193,19 @@ def read_catalog_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Large JSON Lines catalogs: one group per line, files split between tasks."""
+def read_catalog_lines(spark: SparkSession, path: str, reject: str = "file") -> DataFrame:
+    """Large JSON Lines catalogs: one group per line, files split between tasks.
+
+    A bad line rejects its file, however the file is split; with ``reject="line"`` it rejects itself only.
+    """
+    if reject not in ("file", "line"):
+        raise ValueError(f"reject must be 'file' or 'line', not {reject!r}")
     lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
-    source = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
-    return lines.select(
-        source.alias("group_source"), F.monotonically_increasing_id().alias("first_ord"),
-        F.try_parse_json("value").alias("v"),
+    numbered = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("first_ord"), "value")
+    source = F.col("file") if reject == "file" else F.concat_ws("#", "file", F.col("first_ord").cast("string"))
+    return numbered.select(
+        source.alias("group_source"), "first_ord", F.try_parse_json("value").alias("v"),
     ).select("group_source", "first_ord", F.when(F.col("v").isNotNull(), F.array("v")).alias("groups"))
 
 

@@ -123,3 +123,74 @@ def test_stream_equals_batch_and_bad_rules_are_kept_out(spark, tmp_path):
     time.sleep(1.1)
     write(tmp_path / "rules", "r.json", json.dumps([group(), group()]))
     assert source.current() is before and source.load_errors == 1
+
+
+# --- no result hangs on a size, a split or a spelling ------------------------------------------------------
+
+
+def test_patterns_match_alike_in_any_number(spark):
+    from nearmark.operators.exact import regex_hits
+
+    parts = spark.createDataFrame([(1, "xcom"), (1, "acom"), (1, "7abc"), (1, "\x07abc")], "chain_id long, part string")
+    asked = ["[a-cx]com$", r"[]x]com", r"\07abc", "[^b]com"]
+    for extra in (0, 12, 13, 14, 40):
+        patterns = [(1, p) for p in asked + [f"never{i}" for i in range(extra)]]
+        found = regex_hits(parts, spark.createDataFrame(patterns, "chain_id long, pattern string"))
+        assert {(r.part, r.pattern) for r in found.collect()} == {
+            ("xcom", "[a-cx]com$"), ("acom", "[a-cx]com$"), ("xcom", "[]x]com"), ("\x07abc", r"\07abc"), ("xcom", "[^b]com"), ("acom", "[^b]com")}
+
+
+def test_exclusion_patterns_alike_in_any_number(spark):
+    from nearmark.operators.preprocess import drop_matching
+
+    parts = start_parts(spark.createDataFrame([("xcom",), ("kept",)], "value string"), [1])
+    for extra in (10, 9000):
+        entries = spark.createDataFrame([(1, "[a-cx]com$"), *((1, f"never{i}") for i in range(extra))], "chain_id long, entry string")
+        assert [r.part for r in drop_matching(parts, entries).collect()] == ["kept"]
+
+
+def test_nested_classes_are_refused():
+    from nearmark.functions.patterns import pattern_problem, required_literal
+
+    for pattern in ("[[:alpha:]]com", "[a-c[x]]com$", "[a-z&&[^b]]com", "[a-z--b]com"):
+        assert "not supported" in pattern_problem(pattern) and required_literal(pattern) == ""
+    assert pattern_problem(r"[\[a-z]com\.$") is None and required_literal(r"[\[a-z]com\.$") == "com."
+
+
+def test_many_splits_keep_their_order(spark):
+    parts = start_parts(spark.createDataFrame([("a.b.c",)], "value string"), [1])
+    for _ in range(6):
+        parts = split_step(parts)
+    assert [r.part for r in parts.orderBy("part_ord").collect()] == ["a", "b", "c"]
+
+
+def test_a_bad_catalog_line_rejects_its_file_at_any_split(spark, tmp_path):
+    import json
+
+    from nearmark.sources.catalog import build_catalog, read_catalog_lines
+
+    good = [json.dumps({"name": f"g{i}", "rule_sets": [{"name": "s", "string_match": "t", "match_rules": []}]}) for i in range(40)]
+    (tmp_path / "bad.jsonl").write_text("\n".join([*good, "not json"]))
+    (tmp_path / "good.jsonl").write_text("\n".join(x.replace('"g', '"h') for x in good))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            kept = {mode: build_catalog(read_catalog_lines(spark, str(tmp_path), mode)).sets.count() for mode in ("file", "line")}
+            assert kept == {"file": 40, "line": 80}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_an_escaped_result_key_is_replaced_too(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from nearmark.operators.control import add_member
+
+    texts = ['{"nameMatche\\u0073": 1, "a": 2}', '{"nameMatches":1,"a":2}', '{"a":2}', ' { } ']
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    for r in df.select("value", add_member(F.col("value"), "nameMatches", F.lit("[9]")).alias("out")).collect():
+        pairs = json.loads(r.out, object_pairs_hook=list)
+        assert [k for k, _ in pairs].count("nameMatches") == 1 and dict(pairs)["nameMatches"] == [9]

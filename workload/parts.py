@@ -70,12 +70,12 @@ def exclude_matching(spark, sf_dir):
     return positions(domain_parts(spark, sf_dir, SPLIT, exclude(regex=True, list=STARTS)))
 
 
-@query("exclude_matching_from_file", _parts_sql(
-    "NOT EXISTS (SELECT 1 FROM t WHERE strlen(target) = 6 AND regexp_matches(target, '^[a-z]+$') AND left(part, 6) = target)"))
+@query("exclude_matching_from_file", _parts_sql("part NOT IN (SELECT target FROM t)"))
 def exclude_matching_from_file(spark, sf_dir):
+    """Every target as a pattern that only matches itself, punctuation escaped."""
     path = scratch_folder(spark, "patterns")
-    plain = targets(spark, sf_dir).where(F.col("target").rlike("^[a-z]{6}$"))
-    plain.select(F.concat(F.lit("^"), "target")).write.text(path)
+    escaped = F.regexp_replace("target", r"(\p{Punct})", r"\\$1")
+    targets(spark, sf_dir).select(F.concat(F.lit("^"), escaped, F.lit("$"))).write.text(path)
     return positions(domain_parts(spark, sf_dir, SPLIT, exclude(regex=True, path=path)))
 
 

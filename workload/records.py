@@ -169,9 +169,13 @@ def valid_json_filter(spark, sf_dir):
     return kept.groupBy("input_type").agg(F.count("*").alias("records"))
 
 
-@query("object_filter", "SELECT 'numbers' AS input_type, props AS value FROM events")
+_STRINGS = """'{"k":"' || event_type || '","event_id":' || event_id || '}'"""
+
+
+@query("object_filter", f"""SELECT 'numbers' AS input_type, props AS value FROM events
+    UNION ALL SELECT 'strings', {_STRINGS} FROM events""")
 def object_filter(spark, sf_dir):
-    kept = mixed_records(spark, sf_dir).where("input_type <> 'strings'").where(R.is_object(R.parsed(F.col("value"))))
+    kept = mixed_records(spark, sf_dir).where(R.is_object(R.parsed(F.col("value"))))
     return kept.select("input_type", "value")
 
 
@@ -193,13 +197,14 @@ def string_type_check(spark, sf_dir):
 # --- counters and sinks ---------------------------------------------------------------------------------
 
 
-@query("input_counters", """
-    SELECT 'numbers' AS input_type, count(*) AS input_objects, sum(strlen(props))::BIGINT AS input_bytes, 0 AS parse_errors FROM events
+@query("input_counters", f"""
+    SELECT 'strings' AS input_type, count(*) AS input_objects, sum(strlen({_STRINGS}))::BIGINT AS input_bytes, 0 AS parse_errors
+    FROM events UNION ALL SELECT 'numbers' AS input_type, count(*) AS input_objects, sum(strlen(props))::BIGINT AS input_bytes, 0 AS parse_errors FROM events
     UNION ALL SELECT 'arrays', count(*), sum(strlen(props) + 2)::BIGINT, 0 FROM events
     UNION ALL SELECT 'bare', count(*), sum(strlen(user_id::VARCHAR))::BIGINT, 0 FROM events
     UNION ALL SELECT 'text', 0, 0, count(*) FROM conversations""")
 def input_counters_query(spark, sf_dir):
-    return input_counters(mixed_records(spark, sf_dir).where("input_type <> 'strings'"))
+    return input_counters(mixed_records(spark, sf_dir))
 
 
 @query("output_counters", """
@@ -210,24 +215,24 @@ def output_counters_query(spark, sf_dir):
     return output_counters(out, "file").unionByName(output_counters(out, "kafka"))
 
 
-@query("json_lines_sink", f"""WITH {sql.WORDS}, {sql.targets(5)}
+@query("json_lines_sink", f"""WITH {sql.WORDS}, {sql.targets()}
     SELECT word AS name, n AS records FROM w WHERE EXISTS (SELECT 1 FROM t WHERE abs(strlen(word) - strlen(target)) <= 1
       AND levenshtein(word, target) <= 1)""")
 def json_lines_sink(spark, sf_dir):
     """Only records with a match come out; each is written once, however many matches it has."""
     path = scratch_folder(spark, "out")
-    rules = catalog(spark, sf_dir, rule("levenshtein", maximum_distance=1), at_least=5)
+    rules = catalog(spark, sf_dir, rule("levenshtein", maximum_distance=1))
     write_json_lines(enrich(word_records(spark, sf_dir), ".name", rules), path)
     back = R.usable(R.read_json_lines(spark, path), ".name")
     return back.groupBy("name").agg(F.count("*").alias("records"))
 
 
-@query("match_table_sink", f"""WITH {sql.WORDS}, {sql.targets(5)}
+@query("match_table_sink", f"""WITH {sql.WORDS}, {sql.targets()}
     SELECT 'targets' AS group_name, target AS rule_set, word AS part, levenshtein(word, target)::INT AS distance, n AS records
     FROM w JOIN t ON abs(strlen(word) - strlen(target)) <= 1 AND levenshtein(word, target) <= 1""")
 def match_table_sink(spark, sf_dir):
     path = scratch_folder(spark, "matches")
-    rules = catalog(spark, sf_dir, rule("levenshtein", maximum_distance=1), at_least=5)
+    rules = catalog(spark, sf_dir, rule("levenshtein", maximum_distance=1))
     rows = word_rows(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
     write_match_table(match_strings(rows, "word", rules), path)
     return spark.read.parquet(path).groupBy("group_name", "rule_set", "part", "distance").agg(F.count("*").alias("records"))
