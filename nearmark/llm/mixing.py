@@ -26,7 +26,7 @@ from nearmark.session import cut
 
 GOLDEN = 0.6180339887498949
 # Rows that one window of the first step of a running sum has on average.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 20_000
 # Cells of [0, 1) by which points find their source.
 CELLS = 4096
 
