@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearmark.functions.text import quoted
+from nearmark.functions.text import once, quoted
 from nearmark.schemas import PART_METADATA, RULE_VALUES
 
 K = F.col
@@ -101,8 +101,11 @@ def add_member(value: Column, key: str, member: Column) -> Column:
     # a text with neither the key as it is nor any escape cannot have it, and needs no second parse to know it
     mentioned = value.contains(f'"{key}"') | value.contains("\\")
     has_key = mentioned & F.map_contains_key(fields, key)
-    text = F.when(has_key, stripped).otherwise(value)
-    text = F.regexp_replace(text, r"\A\s+|\s+\z", "")
-    comma = F.when(text.rlike(r"\A\{\s*\}\z"), F.lit("")).otherwise(F.lit(","))
-    return F.concat(
-        F.left(text, F.char_length(text) - 1), comma, quoted(F.lit(key)), F.lit(":"), member, F.lit("}"))
+    trimmed = F.regexp_replace(F.when(has_key, stripped).otherwise(value), r"\A\s+|\s+\z", "")
+
+    def extended(text: Column) -> Column:
+        comma = F.when(text.rlike(r"\A\{\s*\}\z"), F.lit("")).otherwise(F.lit(","))
+        return F.concat(
+            F.left(text, F.char_length(text) - 1), comma, quoted(F.lit(key)), F.lit(":"), member, F.lit("}"))
+
+    return once(trimmed, extended)

@@ -10,6 +10,7 @@ length instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -39,25 +40,27 @@ def _sorted_bytes(col: Column) -> Column:
     return F.array_join(F.array_sort(F.split(col, "")), "")
 
 
-def _segment(segments: Column) -> tuple[Column, Column]:
+def _segment(segments: Column, i: Column) -> tuple[Column, Column]:
     """Start and length of segment ``i`` of a target of length ``tl``."""
-    start = F.floor(F.col("i") * F.col("tl") / segments).cast("int")
-    end = F.floor((F.col("i") + 1) * F.col("tl") / segments).cast("int")
+    start = F.floor(i * F.col("tl") / segments).cast("int")
+    end = F.floor((i + 1) * F.col("tl") / segments).cast("int")
     return start, end - start
 
 
 def _rule_segments(rules: DataFrame, segments: Column) -> DataFrame:
     """One row per segment of every target that is long enough."""
     cut = rules.where(F.col("tl") >= segments).withColumn("i", F.explode(F.sequence(F.lit(0), segments - 1)))
-    start, size = _segment(segments)
+    start, size = _segment(segments, K("i"))
     return cut.withColumn("segment", known(F.substring("tb", start + 1, size)))
 
 
 def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Callable[[Column], tuple]) -> DataFrame:
-    """The substrings of each part that could be a segment of a target in the catalog."""
-    delta = F.col("pl") - F.col("tl")
-    start, size = _segment(segments)
-    low, high = shifts(delta)
+    """The substrings of each part that could be a segment of a target in the catalog, each once per segment."""
+    start, size = _segment(segments, K("i"))
+    low, high = shifts(F.col("pl") - F.col("tl"), K("i"))
+    segment = F.substring("pb", F.col("at") + 1, size)
+    first = F.greatest(start + F.col("low"), F.lit(0))
+    seen = F.contains(F.substring("pb", first + 1, F.col("at") - first + size - 1), segment)
     return (
         parts.where("pl > 0")
         .withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(profile.distances)])))
@@ -69,11 +72,26 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
         .where("low <= high")
         .withColumn("shift", F.explode(F.sequence("low", "high")))
         .withColumn("at", start + F.col("shift"))
-        .where((F.col("at") >= 0) & (F.col("at") + size <= F.col("pl")))
-        .select(*parts.columns, "k", "tl", "i", known(F.substring("pb", F.col("at") + 1, size)).alias("segment"))
+        .where((F.col("at") >= 0) & (F.col("at") + size <= F.col("pl")) & ~seen)
+        .select(*parts.columns, "k", "tl", "i", known(segment).alias("segment"))
     )
 
 
+def _first_shared(profile: Row, touched: int, shifts: Callable[[Column, Column], tuple]) -> Column:
+    """No segment before ``i`` occurs in the part at one of its places: a pair comes out of one key only."""
+    segments = touched * K("k") + 1
+
+    def shared(i: Column) -> Column:
+        start, size = _segment(segments, i)
+        low, high = shifts(K("pl") - K("tl"), i)
+        begin, end = F.greatest(start + low, F.lit(0)), F.least(start + high + size, K("pl"))
+        return (i < K("i")) & F.contains(F.substring("pb", begin + 1, end - begin), F.substring("tb", start + 1, size))
+
+    # a target that is cut at all has at least as many bytes as segments
+    most = min(touched * max(profile.distances), max(profile.lengths))
+    return reduce(lambda rest, i: rest & ~shared(F.lit(i)), range(most), F.lit(True))
+
+
 def _short_pairs(parts: DataFrame, rules: DataFrame, profile: Row, segments: Column, condition: Column) -> DataFrame:
     """Targets too short to cut, against the parts whose length allows a match."""
     short = rules.where(F.col("tl") < segments)
@@ -88,23 +106,36 @@ def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int,
     segments = touched * K("k") + 1
     keyed = key_join(
         _part_segments(parts, profile, segments, shifts), _rule_segments(rules, segments),
-        ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1), condition,
+        ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1),
+        _first_shared(profile, touched, shifts) & condition,
     ).drop("i", "segment")
     if min(profile.lengths) > touched * max(profile.distances):
-        return keyed.distinct()
-    short = _short_pairs(parts, rules, profile, segments, condition)
-    return keyed.unionByName(short).distinct()
+        return keyed
+    # a target is either long enough to be cut or compared whole
+    return keyed.unionByName(_short_pairs(parts, rules, profile, segments, condition))
 
 
-def _levenshtein_shifts(delta: Column) -> tuple[Column, Column]:
-    # before segment i lie at most i edits if it is the first untouched one, behind it at most k - i
-    i, k = K("i"), K("k")
+def _levenshtein_shifts(delta: Column, i: Column) -> tuple[Column, Column]:
+    # some untouched segment i has at most i edits before it and at most k - i behind it
+    k = K("k")
     return F.greatest(-i, delta - (k - i)), F.least(i, delta + (k - i))
 
 
-def _even_shifts(delta: Column) -> tuple[Column, Column]:
-    # a shift before the segment and the rest of the length difference after it both cost edits
-    return F.ceil((delta - K("k")) / 2), F.floor((delta + K("k")) / 2)
+def _swap_shifts(delta: Column, i: Column) -> tuple[Column, Column]:
+    # A swap touches at most two segments, any other edit one, so the 2k + 1 segments are touched at most 2k
+    # times. Counting touches minus segments from the left, the first fall below zero is at an untouched
+    # segment i with exactly i touches before it. A shift by s before it takes |s| edits of one touch each and
+    # at least (i - |s|) / 2 more; behind it |delta - s| are left. So |s| + 2 |delta - s| <= 2k - i and |s| <= i.
+    room = 2 * K("k") - i
+
+    def reach(left: Column) -> Column:
+        return F.least(F.floor(left / 3), left).cast("int")
+
+    return F.greatest(-i, -reach(room - 2 * delta)), F.least(i, reach(room + 2 * delta))
+
+
+def _no_shift(delta: Column, i: Column) -> tuple[Column, Column]:
+    return F.lit(0), F.lit(0)
 
 
 def _find_levenshtein(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
@@ -130,13 +161,13 @@ def _score_levenshtein(pairs: DataFrame, options: Options) -> DataFrame:
 def _find_damerau(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
     # t swaps cost t but may be 2t plain edits, so the plain distance is at most 2k, and a pair at plain
     # distance d > k has at most 2k - d edits that are no swaps. Only those change the sorted bytes, by at
-    # most two each. What passes both tests is worth sending to Python.
+    # most two each; at d <= k the same bound holds by itself. What passes is worth sending to Python.
     parts, rules = _part_bytes(parts), _target_bytes(rules)
     parts = parts.withColumn("ps", F.explode(F.array(_sorted_bytes(K("pb")))))
     rules = rules.withColumn("ts", _sorted_bytes(K("tb")))
-    possible = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and (levenshtein(pb, tb, k) >= 0 or
-        levenshtein(ps, ts) <= 2 * (2 * k - levenshtein(pb, tb)))""")
-    pairs = _near_pairs(parts, rules, profile, 2, _even_shifts, possible).drop("ps", "ts")
+    possible = F.expr("""levenshtein(ps, ts, 4 * k) >= 0 and levenshtein(pb, tb, 2 * k) >= 0 and
+        levenshtein(ps, ts, 4 * k) <= 2 * (2 * k - levenshtein(pb, tb, 2 * k))""")
+    pairs = _near_pairs(parts, rules, profile, 2, _swap_shifts, possible).drop("ps", "ts")
     scored = pairs.withColumn("distance", osa("part", from_byte_string(K("tb")))).where("distance <= k")
     return scored.withColumnRenamed("distance", "d").select("*", *result_columns(match=F.lit(True), distance=K("d")))
 
@@ -150,7 +181,7 @@ def _score_damerau(pairs: DataFrame, options: Options) -> DataFrame:
 def _find_hamming(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
     parts, rules = _part_bytes(parts), _target_bytes(rules)
     segments = K("k") + 1
-    start, size = _segment(segments)
+    start, size = _segment(segments, K("i"))
     # equal lengths, so a segment can only be where it was
     cut = (
         parts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(profile.distances)])))
@@ -160,10 +191,11 @@ def _find_hamming(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
     )
     within = _mismatches(K("pb"), K("tb")) <= K("k")
     keyed = key_join(cut, _rule_segments(rules, segments), ["chain_id", "k", "tl", "i", "segment"],
-                     size_bound(profile, profile.distance + 1), within).drop("i", "segment")
+                     size_bound(profile, profile.distance + 1),
+                     _first_shared(profile, 1, _no_shift) & within).drop("i", "segment")
     short = rules.where(K("tl") < segments).withColumn("pl", K("tl"))
     all_short = sliced_join(parts, short, ["chain_id", "pl"], size_bound(profile))
-    pairs = keyed.unionByName(all_short).distinct()
+    pairs = keyed.unionByName(all_short)
     return pairs.select("*", *result_columns(match=F.lit(True), distance=_mismatches(K("pb"), K("tb"))))
 
 

@@ -64,13 +64,16 @@ def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column
     def keyed(side: DataFrame, size: str, on: list[str]) -> DataFrame:
         # the combinations depend on sizes only, so they are made once per size and not per item
         places = sizes.withColumn("at", F.explode(index_combinations(K(size) - K("need") + K("s"), K("s"))))
-        rows = side.join(F.broadcast(places.drop("need", "s")), on)
+        rows = side.join(F.broadcast(places.drop("s")), on)
         token = [F.get("tokens", F.get("at", F.lit(i))) for i in range(3)]
-        return rows.withColumn("key", known(F.concat_ws("\u0001", *token))).drop("tokens", "at")
+        return rows.withColumn("key", known(F.concat_ws("\u0001", *token))).drop("at")
 
+    # a shared key says that a pair may have enough in common, the whole token sets say whether it has
     joined = key_join(
-        keyed(left, "a", ["chain_id", "a", "wa"]), keyed(right, "b", ["chain_id", "p", "b", "wb"]),
-        ["chain_id", "p", "a", "wa", "b", "wb", "key"], bound, by=["item"])
+        keyed(left, "a", ["chain_id", "a", "wa"]),
+        keyed(right, "b", ["chain_id", "p", "b", "wb"]).drop("need").withColumnRenamed("tokens", "others"),
+        ["chain_id", "p", "a", "wa", "b", "wb", "key"], bound,
+        F.size(F.array_intersect("tokens", "others")) >= K("need"), by=["item"])
     return joined.select("chain_id", "item", "other", "p").distinct()
 
 

@@ -48,8 +48,8 @@ def is_object(variant: Column) -> Column:
 def with_field(records: DataFrame, path: str, name: str = "name") -> DataFrame:
     """Add the string at ``path`` of each record; NULL when it is missing or is any other JSON type."""
     path = compile_path(path)
-    # one column per step: the text is parsed once
-    found = records.withColumn("variant_", parsed(F.col("value"))).withColumn(
+    # merged projections would parse the text again at every mention; what comes out of explode is there already
+    found = records.withColumn("variant_", F.explode(F.array(parsed(F.col("value"))))).withColumn(
         "leaf_", F.when(is_object(F.col("variant_")), F.try_variant_get("variant_", path, "variant")))
     # the type is checked before the cast, which would also turn numbers and booleans into strings
     text = F.when(F.schema_of_variant("leaf_") == "STRING", F.try_variant_get("leaf_", "$", "string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearmark import Options, catalog_from_targets, match_strings
 from nearmark.functions import phonetic
+from nearmark.operators import joins
 from nearmark.operators.preprocess import make_parts
 from nearmark.plans.match import matched_pairs, scored_pairs
 
@@ -105,6 +106,41 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("kind", ["levenshtein", "damerau_levenshtein", "hamming"])
+def test_edits_of_longer_words_equal_brute_force(spark, kind):
+    rng = random.Random(7)
+
+    def edited(word, times):
+        for _ in range(times):
+            i = rng.randrange(len(word) + 1)
+            word = rng.choice([
+                word[:i] + word[i + 1:], word[:i] + rng.choice("abé") + word[i:], word[:i] + rng.choice("abé") + word[i + 1:],
+                word[:i] + word[i:i + 2][::-1] + word[i + 2:]])
+        return word
+
+    targets = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 13))) for _ in range(12)]
+    words = sorted({edited(t, rng.randint(0, 4)) for t in targets for _ in range(40)})
+    catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in targets], "t string"), "t",
+                                   [rule(kind, maximum_distance=k) for k in (1, 2, 3)])
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
+
+
+@pytest.mark.parametrize("name", ["levenshtein", "damerau", "jaccard", "jaro", "soundex", "regex"])
+def test_shuffled_salted_and_sliced_joins_equal_brute_force(spark, monkeypatch, name):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 6000)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdet1") for _ in range(rng.randint(0, 6))) for _ in range(60)})
+    catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in words[::6]], "t string"), "t", CASES[name])
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance", "match_percent", "similarity"])
+
+
+def check_against_all_pairs(spark, catalog, words, columns):
+    parts = make_parts(spark.createDataFrame([(w,) for w in words], "value string"), catalog).select("chain_id", "part").distinct()
+    fast = sorted(map(str, matched_pairs(parts, catalog).select(columns).collect()))
+    slow = sorted(map(str, scored_pairs(parts, catalog).where("match").select(columns).collect()))
+    assert fast and fast == slow
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_keyed_jobs_equal_brute_force(spark, name):
     rng = random.Random(len(name))
@@ -117,9 +153,4 @@ def test_keyed_jobs_equal_brute_force(spark, name):
     if name in ("soundex", "metaphone"):
         strings = [s for s in strings if s.isascii()]
     catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in strings], "t string"), "t", CASES[name])
-    values = spark.createDataFrame([(w,) for w in words], "value string")
-    parts = make_parts(values, catalog).select("chain_id", "part").distinct()
-    columns = ["part", "set_id", "rule_idx", "distance", "substring", "match_percent", "similarity", "primary_code", "alternate_code", "encoded"]
-    fast = sorted(map(str, matched_pairs(parts, catalog).select(columns).collect()))
-    slow = sorted(map(str, scored_pairs(parts, catalog).where("match").select(columns).collect()))
-    assert fast == slow
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance", "substring", "match_percent", "similarity", "primary_code", "alternate_code", "encoded"])
