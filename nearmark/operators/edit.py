@@ -10,7 +10,6 @@ length instead.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -54,7 +53,7 @@ def _rule_segments(rules: DataFrame, segments: Column) -> DataFrame:
     return cut.withColumn("segment", known(F.substring("tb", start + 1, size)))
 
 
-def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Callable[[Column], tuple]) -> DataFrame:
+def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Callable[[Column, Column], tuple]) -> DataFrame:
     """The substrings of each part that could be a segment of a target in the catalog, each once per segment."""
     start, size = _segment(segments, K("i"))
     low, high = shifts(F.col("pl") - F.col("tl"), K("i"))
@@ -77,21 +76,6 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
     )
 
 
-def _first_shared(profile: Row, touched: int, shifts: Callable[[Column, Column], tuple]) -> Column:
-    """No segment before ``i`` occurs in the part at one of its places: a pair comes out of one key only."""
-    segments = touched * K("k") + 1
-
-    def shared(i: Column) -> Column:
-        start, size = _segment(segments, i)
-        low, high = shifts(K("pl") - K("tl"), i)
-        begin, end = F.greatest(start + low, F.lit(0)), F.least(start + high + size, K("pl"))
-        return (i < K("i")) & F.contains(F.substring("pb", begin + 1, end - begin), F.substring("tb", start + 1, size))
-
-    # a target that is cut at all has at least as many bytes as segments
-    most = min(touched * max(profile.distances), max(profile.lengths))
-    return reduce(lambda rest, i: rest & ~shared(F.lit(i)), range(most), F.lit(True))
-
-
 def _short_pairs(parts: DataFrame, rules: DataFrame, profile: Row, segments: Column, condition: Column) -> DataFrame:
     """Targets too short to cut, against the parts whose length allows a match."""
     short = rules.where(F.col("tl") < segments)
@@ -106,13 +90,12 @@ def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int,
     segments = touched * K("k") + 1
     keyed = key_join(
         _part_segments(parts, profile, segments, shifts), _rule_segments(rules, segments),
-        ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1),
-        _first_shared(profile, touched, shifts) & condition,
+        ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1), condition,
     ).drop("i", "segment")
     if min(profile.lengths) > touched * max(profile.distances):
-        return keyed
+        return keyed.distinct()
     # a target is either long enough to be cut or compared whole
-    return keyed.unionByName(_short_pairs(parts, rules, profile, segments, condition))
+    return keyed.distinct().unionByName(_short_pairs(parts, rules, profile, segments, condition))
 
 
 def _levenshtein_shifts(delta: Column, i: Column) -> tuple[Column, Column]:
@@ -134,10 +117,6 @@ def _swap_shifts(delta: Column, i: Column) -> tuple[Column, Column]:
     return F.greatest(-i, -reach(room - 2 * delta)), F.least(i, reach(room + 2 * delta))
 
 
-def _no_shift(delta: Column, i: Column) -> tuple[Column, Column]:
-    return F.lit(0), F.lit(0)
-
-
 def _find_levenshtein(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
     within = F.expr("levenshtein(pb, tb, k) >= 0")
     parts, rules = _part_bytes(parts), _target_bytes(rules)
@@ -165,8 +144,8 @@ def _find_damerau(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
     parts, rules = _part_bytes(parts), _target_bytes(rules)
     parts = parts.withColumn("ps", F.explode(F.array(_sorted_bytes(K("pb")))))
     rules = rules.withColumn("ts", _sorted_bytes(K("tb")))
-    possible = F.expr("""levenshtein(ps, ts, 4 * k) >= 0 and levenshtein(pb, tb, 2 * k) >= 0 and
-        levenshtein(ps, ts, 4 * k) <= 2 * (2 * k - levenshtein(pb, tb, 2 * k))""")
+    possible = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and
+        levenshtein(ps, ts, 2 * (2 * k - levenshtein(pb, tb, 2 * k))) >= 0""")
     pairs = _near_pairs(parts, rules, profile, 2, _swap_shifts, possible).drop("ps", "ts")
     scored = pairs.withColumn("distance", osa("part", from_byte_string(K("tb")))).where("distance <= k")
     return scored.withColumnRenamed("distance", "d").select("*", *result_columns(match=F.lit(True), distance=K("d")))
@@ -191,11 +170,10 @@ def _find_hamming(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
     )
     within = _mismatches(K("pb"), K("tb")) <= K("k")
     keyed = key_join(cut, _rule_segments(rules, segments), ["chain_id", "k", "tl", "i", "segment"],
-                     size_bound(profile, profile.distance + 1),
-                     _first_shared(profile, 1, _no_shift) & within).drop("i", "segment")
+                     size_bound(profile, profile.distance + 1), within).drop("i", "segment")
     short = rules.where(K("tl") < segments).withColumn("pl", K("tl"))
     all_short = sliced_join(parts, short, ["chain_id", "pl"], size_bound(profile))
-    pairs = keyed.unionByName(all_short)
+    pairs = keyed.unionByName(all_short).distinct()
     return pairs.select("*", *result_columns(match=F.lit(True), distance=_mismatches(K("pb"), K("tb"))))
 
 
