@@ -32,10 +32,9 @@ def words(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return distinct_values(word_rows(spark, sf_dir, name), "word")
 
 
-def targets(spark: SparkSession, sf_dir: str, at_least: int = 1, ascii_only: bool = False) -> DataFrame:
+def targets(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
     """Target strings: the words of the benchmark passages."""
     found = word_rows(spark, sf_dir, "benchmark").select(F.col("word").alias("target")).distinct()
-    found = found.where(F.octet_length("target") >= at_least)
     return found.where(F.octet_length("target") == F.char_length("target")) if ascii_only else found
 
 

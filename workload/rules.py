@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearmark.operators import Options, register_rule
 from nearmark.plans.match import match_targets
-from nearmark.sources.catalog import Catalog, catalog_from_rules, catalog_from_targets
+from nearmark.sources.catalog import Catalog, catalog_from_rules
 from workload import sql
 from workload.inputs import catalog, rule, table, targets, words
 from workload.registry import registry
@@ -20,8 +20,8 @@ def found(spark: SparkSession, sf_dir: str, rules: Catalog, *columns, options: O
     return rows.select(F.col("value").alias("word"), F.col("rule_set").alias("target"), *columns)
 
 
-def with_words(body: str, at_least: int = 1, ascii_only: bool = False) -> str:
-    return f"WITH RECURSIVE {sql.WORDS}, {sql.targets(at_least, ascii_only)} {body}"
+def with_words(body: str, ascii_only: bool = False) -> str:
+    return f"WITH RECURSIVE {sql.WORDS}, {sql.targets(ascii_only)} {body}"
 
 
 # --- edit distance --------------------------------------------------------------------------------------
@@ -86,12 +86,12 @@ _SCAN = with_words(_WINDOWS.format(distance="levenshtein") + f"""
     SELECT word, target, d::INT AS distance, NULL::VARCHAR AS substring FROM whole
     UNION ALL
     SELECT word, target, d::INT, {sql.from_byte_text('substr(a, start::INT + 1, length(b))')}
-    FROM scan JOIN wb USING (a) JOIN tb USING (b) WHERE d <= 1""", at_least=6)
+    FROM scan JOIN wb USING (a) JOIN tb USING (b) WHERE d <= 1""")
 
 
 @query("levenshtein_substring_join", _SCAN)
 def levenshtein_substring_join(spark, sf_dir):
-    rules = catalog(spark, sf_dir, rule("levenshtein_substring", maximum_distance=1), at_least=6)
+    rules = catalog(spark, sf_dir, rule("levenshtein_substring", maximum_distance=1))
     return found(spark, sf_dir, rules, "distance", "substring")
 
 
@@ -102,7 +102,7 @@ def _every_window(distance: str) -> str:
     SELECT word, target, d::INT AS distance, NULL::VARCHAR AS substring FROM whole
     UNION ALL
     SELECT word, target, d::INT, {sql.from_byte_text('piece')} FROM best JOIN wb USING (a) JOIN tb USING (b)
-    WHERE NOT EXISTS (SELECT 1 FROM whole x WHERE x.a = best.a AND x.b = best.b)""", at_least=6)
+    WHERE NOT EXISTS (SELECT 1 FROM whole x WHERE x.a = best.a AND x.b = best.b)""")
 
 
 EXHAUSTIVE = Options(substring_mode="exhaustive")
@@ -110,20 +110,20 @@ EXHAUSTIVE = Options(substring_mode="exhaustive")
 
 @query("levenshtein_substring_every_window", _every_window("levenshtein"))
 def levenshtein_substring_every_window(spark, sf_dir):
-    rules = catalog(spark, sf_dir, rule("levenshtein_substring", maximum_distance=1), at_least=6)
+    rules = catalog(spark, sf_dir, rule("levenshtein_substring", maximum_distance=1))
     return found(spark, sf_dir, rules, "distance", "substring", options=EXHAUSTIVE)
 
 
 @query("damerau_substring_every_window", _every_window("damerau_levenshtein"))
 def damerau_substring_every_window(spark, sf_dir):
     # at distance 1 the restricted and the full form agree
-    rules = catalog(spark, sf_dir, rule("damerau_levenshtein_substring", maximum_distance=1), at_least=6)
+    rules = catalog(spark, sf_dir, rule("damerau_levenshtein_substring", maximum_distance=1))
     return found(spark, sf_dir, rules, "distance", "substring", options=EXHAUSTIVE)
 
 
 @query("damerau_levenshtein_substring_join")
 def damerau_levenshtein_substring_join(spark, sf_dir):
-    rules = catalog(spark, sf_dir, rule("damerau_levenshtein_substring", maximum_distance=1), at_least=6)
+    rules = catalog(spark, sf_dir, rule("damerau_levenshtein_substring", maximum_distance=1))
     return found(spark, sf_dir, rules, "distance", "substring")
 
 
@@ -202,12 +202,12 @@ _RATING = with_words(f"""
         CASE WHEN total <= 4 THEN 5 WHEN total <= 7 THEN 4 WHEN total <= 11 THEN 3 WHEN total = 12 THEN 2 ELSE 1 END)
     SELECT word, target FROM hits JOIN wc USING (a) JOIN tc USING (b)
     UNION ALL
-    SELECT word, target FROM w JOIN t ON word = target WHERE strlen(word) <= 1""", at_least=13)
+    SELECT word, target FROM w JOIN t ON word = target WHERE strlen(word) <= 1""")
 
 
 @query("match_rating_join", _RATING)
 def match_rating_join(spark, sf_dir):
-    return found(spark, sf_dir, catalog(spark, sf_dir, rule("match_rating"), at_least=13))
+    return found(spark, sf_dir, catalog(spark, sf_dir, rule("match_rating")))
 
 
 # --- codes ----------------------------------------------------------------------------------------------
@@ -291,19 +291,20 @@ def bitflip_any_case_join(spark, sf_dir):
     return found(spark, sf_dir, catalog(spark, sf_dir, rule("bitflip", case_sensitive=False)))
 
 
-@query("regex_join", f"""WITH {sql.WORDS}, {sql.targets(5)},
-    p AS (SELECT target, '^.?' || target || '(s|ed|ing)?$' AS suffixed, '(?i)' || target || '$' AS ending FROM t
-          WHERE regexp_matches(target, '^[A-Za-z]+$')),
+@query("regex_join", f"""WITH {sql.WORDS}, {sql.targets()},
+    p AS (SELECT target, regexp_replace(target, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g') AS escaped FROM t),
     stems AS (SELECT word, word AS stem FROM w UNION SELECT word, substr(word, 2) FROM w),
     cut AS (SELECT word, stem FROM stems UNION SELECT word, left(stem, -1) FROM stems WHERE suffix(stem, 's')
           UNION SELECT word, left(stem, -2) FROM stems WHERE suffix(stem, 'ed')
-          UNION SELECT word, left(stem, -3) FROM stems WHERE suffix(stem, 'ing'))
-    SELECT DISTINCT word, suffixed AS pattern FROM cut JOIN p ON stem = target
-    UNION ALL SELECT word, ending FROM w JOIN p ON strlen(target) = 7 AND right(lower(word), 7) = lower(target)""")
+          UNION SELECT word, left(stem, -3) FROM stems WHERE suffix(stem, 'ing')),
+    tails AS (SELECT DISTINCT word, lower(substr(word, unnest(range(1, length(word) + 1))::INT)) AS tail FROM w)
+    SELECT DISTINCT word, '^.?' || escaped || '(s|ed|ing)?$' AS pattern FROM cut JOIN p ON stem = target
+    UNION ALL SELECT word, '(?i)' || escaped || '$' FROM tails JOIN p ON tail = lower(target)""")
 def regex_join(spark, sf_dir):
-    plain = targets(spark, sf_dir, 5).where(F.col("target").rlike("^[A-Za-z]+$"))
-    patterns = plain.select("target", F.concat(F.lit("^.?"), "target", F.lit("(s|ed|ing)?$")).alias("pattern")).unionByName(
-        plain.where("octet_length(target) = 7").select("target", F.concat(F.lit("(?i)"), "target", F.lit("$")).alias("pattern")))
+    """Every target as a stem and, in any case, as an ending; punctuation is escaped."""
+    escaped = F.regexp_replace("target", r"(\p{Punct})", r"\\$1")
+    patterns = targets(spark, sf_dir).select("target", F.explode(F.array(
+        F.concat(F.lit("^.?"), escaped, F.lit("(s|ed|ing)?$")), F.concat(F.lit("(?i)"), escaped, F.lit("$")))).alias("pattern"))
     rules = catalog_from_rules(patterns.select(
         F.lit("patterns").alias("group_name"), F.col("pattern").alias("rule_set"), "target", F.lit(0).alias("rule_idx"),
         F.lit("regex").alias("rule_type"), "pattern"))
@@ -359,10 +360,8 @@ def _same_start(parts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 @query("user_defined_rule", with_words("""
-    SELECT word, target, substr(word, 1, 7) AS start FROM w JOIN t ON substr(word, 1, 7) = substr(target, 1, 7)
-    WHERE length(target) >= 7 AND length(word) >= 7""", at_least=7))
+    SELECT word, target, substr(word, 1, 7) AS start FROM w JOIN t ON substr(word, 1, 7) = substr(target, 1, 7)"""))
 def user_defined_rule(spark, sf_dir):
     register_rule("common_start", _common_start, _same_start)
-    rules = catalog_from_targets(targets(spark, sf_dir, 7).where("char_length(target) >= 7"), "target",
-                                 [rule("common_start", characters=7)])
+    rules = catalog(spark, sf_dir, rule("common_start", characters=7))
     return found(spark, sf_dir, rules, F.get_json_object("metadata", "$.start").alias("start"))

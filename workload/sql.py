@@ -24,11 +24,11 @@ ACCENTED = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
 _CODES = [c for c in range(2, 32) if c not in (9, 10, 13)]
 
 
-def targets(at_least: int = 1, ascii_only: bool = False) -> str:
+def targets(ascii_only: bool = False) -> str:
     extra = " AND strlen(target) = length(target)" if ascii_only else ""
     return (
         f"t AS (SELECT DISTINCT target FROM (SELECT unnest(string_split_regex(text, {BREAK})) AS target FROM benchmark)"
-        f" WHERE strlen(target) >= {at_least}{extra})"
+        f" WHERE target <> ''{extra})"
     )
 
 
