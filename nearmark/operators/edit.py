@@ -235,17 +235,17 @@ def _find_in_text(touched: int, score) -> Callable:
 
 
 def _plain_scan(options: Options) -> Column:
-    """Distance and window of the sliding scan, as one expression over ``pb``, ``tb`` and ``k``."""
+    """Distance and start of the window where the sliding scan ends, over ``pb``, ``tb``, ``k`` and the
+    distance ``d0`` of the first window."""
     tl, room = F.char_length("tb"), F.char_length("pb") - F.char_length("tb")
 
     def window(start: Column) -> Column:
         return F.substring("pb", start + 1, tl)
 
     if options.substring_mode == "exhaustive":
-        distances = F.transform(F.sequence(F.lit(0), room), lambda s: F.levenshtein(window(s), K("tb")))
-        best = F.array_min(distances)
-        start = F.array_position(distances, best).cast("int") - 1
-        return F.struct(best.alias("distance"), window(start).alias("window"))
+        # the least struct is the first of the closest windows
+        return F.array_min(F.transform(F.sequence(F.lit(0), room), lambda s: F.struct(
+            F.levenshtein(window(s), K("tb")).alias("distance"), s.alias("start"))))
 
     def state(start: Column, distance: Column, going: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), distance.alias("distance"), going.alias("going"))
@@ -257,9 +257,9 @@ def _plain_scan(options: Options) -> Column:
         return F.when(going, state(start, F.levenshtein(window(start), K("tb")), F.lit(True))).otherwise(
             state(s["start"], s["distance"], F.lit(False)))
 
-    first = state(F.lit(0), F.levenshtein(window(F.lit(0)), K("tb")), F.lit(True))
-    end = F.aggregate(F.sequence(F.lit(1), room), first, slide)
-    return F.struct(end["distance"].alias("distance"), window(end["start"]).alias("window"))
+    # most scans end where they begin
+    moves = F.when(K("d0") - K("k") >= 2, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(moves, state(F.lit(0), K("d0"), F.lit(True)), slide)
 
 
 def _scan_result(pairs: DataFrame) -> DataFrame:
@@ -272,18 +272,34 @@ def _scan_result(pairs: DataFrame) -> DataFrame:
 
 
 def _score_levenshtein_text(pairs: DataFrame, options: Options) -> DataFrame:
-    ready = pairs.withColumns({"pb": byte_string(K("part")), "tb": byte_string(K("target")), "k": K("maximum_distance")})
-    ready = ready.withColumn("full", F.levenshtein("pb", "tb"))
-    scans = (K("full") > K("k")) & (F.char_length("pb") > F.char_length("tb"))
-    found = F.when(scans, _plain_scan(options))
-    ready = ready.withColumn("found", found).withColumn(
-        "scan", F.struct(K("found.distance").alias("distance"), from_byte_string(K("found.window")).alias("window")))
-    return _scan_result(ready).drop("pb", "tb", "k", "found", "full", "scan")
+    # what comes out of explode is worked out once; otherwise every use of it would work it out again
+    texts = F.struct(byte_string(K("part")).alias("pb"), byte_string(K("target")).alias("tb"))
+    ready = pairs.withColumn("texts", F.explode(F.array(texts))).select(
+        *pairs.columns, "texts.*", K("maximum_distance").alias("k"))
+    # a part longer by more than the limit is only scanned; the gap says so without a comparison
+    gap = F.char_length("pb") - F.char_length("tb")
+    whole = F.when(gap > K("k"), gap).otherwise(F.levenshtein("pb", "tb"))
+    ready = ready.withColumn("full", F.explode(F.array(whole)))
+    scans = (K("full") > K("k")) & (gap > 0)
+    start = F.levenshtein(F.substring("pb", F.lit(1), F.char_length("tb")), K("tb"))
+    ready = ready.withColumn("d0", F.explode(F.array(F.when(scans, start))))
+    ready = ready.withColumn("found", F.explode(F.array(F.when(scans, _plain_scan(options)))))
+    window = from_byte_string(F.substring("pb", K("found.start") + 1, F.char_length("tb")))
+    ready = ready.withColumn("scan", F.struct(K("found.distance").alias("distance"), window.alias("window")))
+    return _scan_result(ready).drop("pb", "tb", "k", "d0", "found", "full", "scan")
 
 
 def _score_damerau_text(pairs: DataFrame, options: Options) -> DataFrame:
     scan = osa_scan_all if options.substring_mode == "exhaustive" else osa_scan
-    ready = pairs.withColumn("full", osa("part", "target")).withColumn("s", scan("part", "target", "maximum_distance"))
+    # a part longer by more than the limit is only scanned, one that is not longer is only compared whole
+    gap = F.octet_length("part") - F.octet_length("target")
+    near, longer = gap <= K("maximum_distance"), gap > 0
+
+    def only(use: Column, name: str) -> Column:
+        return F.when(use, K(name)).otherwise("")
+
+    ready = pairs.withColumn("full", F.when(near, osa(only(near, "part"), only(near, "target"))).otherwise(gap))
+    ready = ready.withColumn("s", scan(only(longer, "part"), only(longer, "target"), "maximum_distance"))
     ready = ready.withColumn("scan", F.struct(K("s.distance").alias("distance"), K("s.substring").alias("window")))
     return _scan_result(ready).drop("s", "full", "scan")
 
