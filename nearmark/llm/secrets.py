@@ -3,7 +3,8 @@
 The guess cost of a value is the least sum, over all ways to cut it into segments, of the logarithm of the guesses
 each segment takes: a known word, a date, a repeat, a keyboard walk or sequence, or brute force. A value after a
 credential key is reported if its cost reaches a threshold, so that ``pwd = Password1!`` or ``pin: 12345678`` is
-told from a random string.
+told from a random string. Such a value is costed and reported whole, also where a fixed pattern has matched a part of
+it; only a value that lies wholly inside a span of a fixed pattern adds nothing.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive, ordered by start, then
 by kind as in ``KINDS``; repeated rows get the same spans; texts are scanned whole; an input column that has the name
@@ -144,10 +145,10 @@ def spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, int,
         found += [(m.start(), 1, m.end(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end(), None) for m in _HEX.finditer(text)]
     if any(k in low for k in _CONTEXT_KEYS):
-        taken = sorted((s, e) for s, _, e, _ in found)
+        taken = [(s, e) for s, _, e, _ in found]
         for m in _CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if any(s < end and start < e for s, e in taken):
+            if any(s <= start and end <= e for s, e in taken):
                 continue
             cost = log10_guesses(text[start:end])
             if cost >= min_log10:

@@ -72,6 +72,18 @@ def test_secret_spans(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_values_are_found_whole_beyond_a_base_span(spark):
+    values = ["kJ8mQ2ab#vL9!xR$7pWz", "Zk83hQpL!9x$Wm2@rT", "hunter2hunter2"]
+    texts = [f'password = "{values[0]}" end', f"é token: {values[1]} end", f"secret={values[2]}"]
+    rows = secrets.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    added = [[r.text[s.start:s.end] for s in r.secrets if s.kind == 3] for r in rows]
+    assert added == [[values[0]], [values[1]], []]
+    for text, r in zip(texts, rows, strict=True):
+        assert [(s.start, s.kind, s.end) for s in r.secrets if s.kind < 3] == base_spans(text)
+    clean = secrets.redact(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ['[SECRET]" end', "é [SECRET] end", "[SECRET]"]
+
+
 def test_guess_costs():
     cost = secrets.log10_guesses
     assert cost("password") < cost("p4ssw0rd") < cost("kq4tzw0x")
