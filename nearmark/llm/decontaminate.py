@@ -6,10 +6,15 @@ diagonals (place in the text minus place in the segment) at most k apart. Shared
 of diagonals; bands overlap by k, so some band holds all of an occurrence's grams. Bands that reach the bound are
 verified by an alignment restricted to the band.
 
-Characters are code points, in lower case where that keeps the length, and all white space is a blank.
+Segments start at every ``step``-th place and at the last one, so each passage of at least ``span + step - 1`` characters
+of an item holds a whole segment, wherever the passage begins. Such a passage is found if its segment has at most
+``edits(span)`` edits, whatever surrounds it. Items of up to ``span`` characters are one segment; those shorter than
+``min_chars`` are searched without edits.
 
-Defined results: null and empty texts and items match nothing; items shorter than ``min_chars`` are not searched for, as
-they would match by chance; equal items are all reported; repeated rows get equal results; texts are searched whole;
+Characters are code points, in lower case where that keeps the length; a run of white space is one blank, and items lose it
+at both ends. Hits are places in the text as it came.
+
+Defined results: null and empty texts and items match nothing, nor do items of white space; equal items are all reported; repeated rows get equal results; texts are searched whole;
 an empty table of either kind gives no match; an input column that has the name of the result column is replaced.
 """
 
@@ -28,7 +33,7 @@ from nearmark.llm.text import Chunk, chunks, prefix_sums, range_hash
 
 HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 # Bytes of benchmark text whose index one task holds; a larger benchmark is searched slice by slice.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 7 << 20
 # Bands verified together.
 ALIGNED = 2048
 
@@ -36,29 +41,39 @@ _FOLD = np.arange(0x600, dtype=np.uint32)
 for _c in range(0x600):
     _low = chr(_c).lower()
     _FOLD[_c] = 0x20 if chr(_c).isspace() else ord(_low) if len(_low) == 1 else _c
+# White space beyond that table.
+_BLANKS = np.array([c for c in range(0x600, 0x10000) if chr(c).isspace()], np.uint32)
 
 
 @dataclass(frozen=True)
 class Settings:
     q: int = 8
-    span: int = 100
-    step: int = 50
+    span: int = 50
+    step: int = 10
     edit_rate: float = 0.08
     band: int = 32
     min_chars: int = 40
 
     def edits(self, length: int) -> int:
-        return int(self.edit_rate * length)
+        return int(self.edit_rate * length) if length >= self.min_chars else 0
 
     def least_shared(self, length: int) -> int:
         return max(1, length + 1 - self.q - self.edits(length) * self.q)
 
 
-def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of UTF-8 bytes, and the bounds of the texts among them."""
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded code points of UTF-8 bytes, the bounds of the texts among them, and the place of each in its text."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return np.where(points < 0x600, _FOLD[np.minimum(points, 0x5FF)], points), heads[bounds]
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    points = np.where(points < 0x600, _FOLD[np.minimum(points, 0x5FF)], points)
+    high = np.flatnonzero(points >= 0x600)
+    points[high[np.isin(points[high], _BLANKS)]] = 0x20
+    blank = points == 0x20
+    keep = np.ones(len(points), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[heads[:-1][heads[:-1] < len(points)]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])[heads]
+    return points[keep], kept, np.flatnonzero(keep) - np.repeat(heads[:-1], np.diff(kept))
 
 
 class Index:
@@ -67,12 +82,19 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.settings = settings
         self.item, self.pattern, gram, segment, place = [], [], [], [], []
+        self.brief: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}  # items without a gram: by length, then hash
         q = settings.q
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            points, _ = characters(raw, np.array([0, len(raw)]))
+            points, _, _ = characters(raw, np.array([0, len(raw)]))
+            solid = np.flatnonzero(points != 0x20)
+            if not len(solid):
+                continue
+            points = points[solid[0]:solid[-1] + 1]
             n = len(points)
-            if n < max(settings.min_chars, q):
+            if n < q:
+                own = range_hash(prefix_sums(points.astype(np.uint64)), np.array([0]), np.array([n]))[0]
+                self.brief.setdefault(n, {}).setdefault(int(own), []).append((item_id, points))
                 continue
             starts = [0] if n <= settings.span else sorted({*range(0, n - settings.span, settings.step), n - settings.span})
             for start in starts:
@@ -97,6 +119,19 @@ class Index:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.gram >> self.shift).astype(np.int64)] = True
 
+    def exact(self, points: np.ndarray, owner: np.ndarray) -> list[tuple]:
+        """Document, item, start, end and edits, here none, of the items without a gram; places are in the chunk."""
+        hits = []
+        for n, known in self.brief.items():
+            if len(points) < n:
+                continue
+            at = np.arange(len(points) - n + 1)
+            own = range_hash(prefix_sums(points.astype(np.uint64)), at, at + n)
+            for p in np.flatnonzero(np.isin(own, np.array(list(known), np.uint64)) & (owner[:len(at)] == owner[n - 1:])).tolist():
+                hits += [(int(owner[p]), item, p, p + n, 0) for item, pattern in known[int(own[p])]
+                         if np.array_equal(pattern, points[p:p + n])]
+        return hits
+
     def candidates(self, points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, segment and first diagonal of the bands that share enough grams."""
         q, band = self.settings.q, self.settings.band
@@ -155,18 +190,19 @@ class Index:
     def search(self, chunk: Chunk) -> list[list[dict]]:
         """Hits of each document of a chunk: item, code point range, least edits; ranges of an item that meet are joined."""
         out: list[list[dict]] = [[] for _ in range(chunk.n)]
-        points, bounds = characters(chunk.data, chunk.bounds)
+        points, bounds, place = characters(chunk.data, chunk.bounds)
         owner = np.repeat(np.arange(chunk.n), np.diff(bounds))
+        hits = self.exact(points, owner)
         doc, segment, diagonal = self.candidates(points, owner)
-        if not len(doc):
-            return out
-        edits, end = self.aligned(points, bounds, doc, segment, diagonal)
-        good = edits <= self.edits[segment]
-        doc, segment, edits, end = doc[good], segment[good], edits[good], end[good]
-        start = np.maximum(end - self.length[segment], bounds[doc]) - bounds[doc]
-        end = np.minimum(end, bounds[doc + 1]) - bounds[doc]
-        hits = sorted(zip(doc.tolist(), [self.item[s] for s in segment], start.tolist(), end.tolist(), edits.tolist(), strict=True),
-                      key=lambda h: (h[0], h[1] is not None, h[1] or 0, h[2], h[3]))
+        if len(doc):
+            edits, end = self.aligned(points, bounds, doc, segment, diagonal)
+            good = edits <= self.edits[segment]
+            doc, segment, edits, end = doc[good], segment[good], edits[good], end[good]
+            start = np.maximum(end - self.length[segment], bounds[doc])
+            end = np.minimum(end, bounds[doc + 1])
+            hits += zip(doc.tolist(), [self.item[s] for s in segment], start.tolist(), end.tolist(), edits.tolist(), strict=True)
+        hits = [(d, item, int(place[lo]), int(place[hi - 1]) + 1, e) for d, item, lo, hi, e in hits]
+        hits.sort(key=lambda h: (h[0], h[1] is not None, h[1] or 0, h[2], h[3]))
         for d, item, lo, hi, e in hits:
             last = out[d][-1] if out[d] else None
             if last and last["item_id"] == item and lo <= last["end"]:

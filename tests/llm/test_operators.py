@@ -323,3 +323,23 @@ def test_decontamination_against_full_alignment(spark, monkeypatch, index_bytes)
     assert clean.columns == ["doc_id", "text", "kept", "score", "c0"] and clean.count() == sum(not r.contamination for r in rows)
     assert decontaminate.contaminations(docs_of(spark, texts), bench.where("false")).where("size(contamination) > 0").isEmpty()
     assert decontaminate.contaminations(docs_of(spark, []), bench).count() == 0
+
+
+def test_every_long_enough_passage_is_found(spark):
+    """Each run of one item, at every offset, between unlike texts; also wrapped anew, and in short items."""
+    settings, rng = decontaminate.Settings(), random.Random(3)
+    least = settings.span + settings.step - 1
+    assert least < 60
+    item = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(70))[:300].strip()
+    short = ["klmnop qrst uvwx", "zyx", "ääöö"]
+    passages = [(item[a:a + n].strip(), a) for n in (least + 2, 90, 100) for a in range(len(item) - n + 1)]
+    texts = ["0123 4567 " * 3 + p.replace(" ", "  \n\t" if a % 2 else "\u3000 ") + " 89" * 9 for p, a in passages]
+    more = ["so KLMNOP\n\n qrst  uvwx so", "KLMNO qrst uvwx", "(ZYX)", "zy", "1 ÄÄÖÖ", " \n", None]
+    bench = spark.createDataFrame([(0, item), *enumerate(short, 1), (9, " \n "), (10, "")], "item_id long, text string")
+    rows = decontaminate.contaminations(docs_of(spark, texts + more), bench).orderBy("doc_id").collect()
+    for (p, _), r in zip(passages, rows, strict=False):
+        assert [h.item_id for h in r.contamination] == [0]
+        h = r.contamination[0]
+        assert 0 <= h.start < h.end <= len(r.text) and (len(p) < least or len(r.text[h.start:h.end].split()) >= len(p.split()) - 6)
+    got = [[(h.item_id, r.text[h.start:h.end]) for h in r.contamination] for r in rows[len(texts):]]
+    assert got == [[(1, "KLMNOP\n\n qrst  uvwx")], [], [(2, "ZYX")], [], [(3, "ÄÄÖÖ")], [], []]
