@@ -84,3 +84,11 @@ def test_kafka_options():
     with pytest.warns(UserWarning):
         assert kafka.starting_offsets("yesterday") is None
     assert kafka.sink_options("h", "t", "me", 1)["topic"] == "t"
+
+
+def test_whole_names_with_a_sharp_s_come_back(spark):
+    import __spark_entry__ as contract
+
+    query = contract.queries()["whole_name_round_trip_every_letter"]
+    rows = query(spark, "/root/testdata/sf0.001").collect()
+    assert any("ß" in r.domain for r in rows) and all(r.back == r.domain.lower() for r in rows)

@@ -137,3 +137,13 @@ def whole_name_round_trip(spark, sf_dir):
     ascii_forms = punycode_step(start_parts(values, [0]), True, False).where("punycode")
     again = punycode_step(ascii_forms, False, True).where("not punycode")
     return again.select(F.col("value").alias("domain"), F.col("part").alias("back"))
+
+
+@query("whole_name_round_trip_every_letter", f"""WITH {sql.DOMAINS} SELECT domain, lower(domain) AS back FROM d
+    WHERE strlen(domain) <> length(domain)""")
+def whole_name_round_trip_every_letter(spark, sf_dir):
+    """The same over all names, those with a sharp s too, which the mapping keeps."""
+    values = domains(spark, sf_dir).select(F.col("domain").alias("value"))
+    ascii_forms = punycode_step(start_parts(values, [0]), True, False).where("punycode")
+    again = punycode_step(ascii_forms, False, True).where("not punycode")
+    return again.select(F.col("value").alias("domain"), F.col("part").alias("back"))
