@@ -136,6 +136,19 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> tuple
     return centres, (x @ centres.T).argmax(axis=1)
 
 
+def sample(known: DataFrame, settings: Settings) -> DataFrame:
+    """At most ``sample_per_lang`` different texts of each language; copies of a text count once."""
+    # About twice the bound by hash, then the bound itself by the same hash: no language is ever sorted as a whole.
+    point = F.pmod(F.xxhash64("text", F.lit(settings.seed)), F.lit(1 << 30))
+    sizes = known.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n"))
+    near = known.withColumn("point", point).join(F.broadcast(sizes), "lang").where(
+        F.col("point") / (1 << 30) < (2.0 * settings.sample_per_lang + 100) / F.col("n")).select("lang", "text", "point").distinct()
+    from pyspark.sql import Window
+
+    return near.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("point", "text")).alias("no")).where(
+        F.col("no") <= settings.sample_per_lang).select("lang", "text")
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model | None:
     """Learn from rows with a language and a text; None if there are none."""
     known = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(
@@ -148,15 +161,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: S
     df = np.array([seen.get(i, 0) for i in range(DIMS)])
     idf = np.log((1 + total) / (1 + df)).astype(np.float32)
 
-    # About twice the bound by hash, then the bound itself by the same hash: no language is ever sorted as a whole.
-    point = F.pmod(F.xxhash64("text", F.lit(settings.seed)), F.lit(1 << 30))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    near = known.withColumn("point", point).join(F.broadcast(sizes), "lang").where(
-        F.col("point") / (1 << 30) < (2.0 * settings.sample_per_lang + 100) / F.col("n"))
-    from pyspark.sql import Window
-
-    chosen = near.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("point", "text")).alias("no")).where(
-        F.col("no") <= settings.sample_per_lang)
+    chosen = sample(known, settings)
 
     def cluster(key, rows: pd.DataFrame) -> pd.DataFrame:
         x = weigh(_unpack(list(rows.packed.sort_values())), idf)
@@ -166,7 +171,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: S
                for i, c in enumerate(centres) if (mine == i).any()]
         return pd.DataFrame(out, columns=["lang", "centre", "floor"])
 
-    found = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, packed binary").groupBy("lang").applyInPandas(
+    found = chosen.mapInArrow(_vectors, "lang string, packed binary").groupBy("lang").applyInPandas(
         cluster, "lang string, centre binary, floor double").collect()  # languages x clusters rows
     found.sort(key=lambda r: (r.lang, bytes(r.centre)))
     return Model(idf, [r.lang for r in found], np.array([np.frombuffer(r.centre, np.float32) for r in found]),

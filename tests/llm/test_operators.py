@@ -43,6 +43,15 @@ def test_language_of_awkward_texts(spark):
     assert langid.predict(docs_of(spark, []), model).count() == 0
 
 
+def test_copies_do_not_fill_the_language_sample(spark):
+    settings = langid.Settings(sample_per_lang=20)
+    texts = spark.createDataFrame([("a", f"text number {i}") for i in range(400)], "lang string, text string")
+    least = texts.orderBy(F.expr(f"pmod(xxhash64(text, {settings.seed}), {1 << 30})")).first()
+    copies = spark.createDataFrame([tuple(least)] * 2000, texts.schema)
+    rows = langid.sample(texts.union(copies), settings).collect()
+    assert len(rows) == len(set(rows)) == 20 and least in rows
+
+
 # --- secrets ----------------------------------------------------------------------------------------------
 
 
