@@ -8,8 +8,9 @@ the same name in every task, with no dictionary to ship.
 Every symbol carries the words its parse depends on: itself, and the neighbours that could have merged with it. If a
 window holds those words, every other occurrence of the window holds the same symbol at the same place. The window's
 anchor is the longest such symbol (of equals the greatest name, then the leftmost); a window with none is its own anchor. The
-Spark rounds then count the names: symbols shared by several places reveal the repeats, and the windows around them are
-verified word by word (``repeats``).
+naming rounds run inside each task, text by text; Spark then counts the names: symbols shared by several places reveal
+the repeats. Zones that differ are compared word by word; equality of whole zones, and of the windows of a name with very
+many zones, rests on 64-bit digests (``repeats``).
 
 Defined results: null texts have no words; texts with fewer words than a window have no repeats; rows with equal texts
 repeat each other; long texts are taken whole, and an empty table gives an empty table.

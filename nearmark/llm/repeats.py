@@ -9,7 +9,7 @@ share an anchor are neighbours and make up a zone.
 3. Zones that occur twice or more are repeats as a whole. If one name has several zones, one occurrence of each zone
    meets the others in the task of the name, where the method finds the equal windows inside (``resolve``). A name with
    very many zones is not brought into one task: the windows themselves are counted by their digest, which a
-   map-side combine keeps even.
+   map-side combine keeps even. Equality of whole zones and of these windows rests on 64-bit digests alone.
 4. Ranges of repeated windows return to their texts and become spans of units to remove.
 
 Only texts with something to resolve or to remove travel; the others are read where they are. Rows are told apart by id
