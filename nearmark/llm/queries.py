@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmark.llm import chat, decontaminate, langid, mixing, neardup, quality, recompression, secrets, suffixes, warc
+from nearmark.llm import (
+    chat, decontaminate, langid, manifest, mixing, neardup, phrases, quality, recompression, secrets, suffixes, warc,
+)
 from nearmark.session import cut
 
 QUERIES: dict = {}
@@ -147,3 +149,79 @@ def chat_format(spark, sf_dir):
     FROM w LEFT JOIN kept USING (doc_id)""")
 def repeated_words(spark, sf_dir):
     return recompression.summary(recompression.repeated_words(documents(spark, sf_dir, "doc_id", "text")))
+
+
+@query("op12_phrases", r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+    spots AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+    counted AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+    often AS (SELECT * FROM counted WHERE f >= 30),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM often WHERE k > 1),
+    cuts AS (SELECT lang, phrase, a, words, unnest(range(1, k)) AS cut_at FROM c),
+    scored AS (
+      SELECT cuts.lang, cuts.phrase, a, cut_at, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM cuts
+      JOIN often x ON x.lang = cuts.lang AND x.phrase = array_to_string(words[1:cut_at], ' ')
+      JOIN often y ON y.lang = cuts.lang AND y.phrase = array_to_string(words[cut_at + 1:], ' ')),
+    least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+    starts AS (SELECT lang, k, a, words, unnest(range(1, k)) AS b FROM c WHERE k > 2),
+    ends AS (SELECT *, unnest(range(b + 1, k + 1)) AS e FROM starts),
+    longer AS (SELECT lang, array_to_string(words[b:e], ' ') AS phrase, max(a) AS most FROM ends WHERE e - b + 1 < k GROUP BY ALL),
+    kept AS (SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""")
+def frequent_phrases(spark, sf_dir):
+    return phrases.best(phrases.collocations(documents(spark, sf_dir, "text", "lang")))
+
+
+@query("op13_manifest", r"""
+    WITH RECURSIVE bytes AS (
+      SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+      FROM range(256) AS r(b)),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM bytes),
+    fields AS (
+      SELECT doc_id, coalesce('=' || lang, '') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, n_chars,
+        coalesce(strlen(text) || ':' || text, '-') AS body,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit
+      FROM documents, crc),
+    leaves AS (
+      SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+        sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || body) AS now,
+        row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place FROM fields),
+    levels AS (
+      SELECT tree, 0 AS level, list(leaf ORDER BY doc_id) AS h FROM leaves GROUP BY tree
+      UNION ALL
+      SELECT tree, level + 1, list_transform(range(1, (len(h) + 1) // 2 + 1), lambda i: sha256(h[2 * i - 1] || coalesce(h[2 * i], '')))
+      FROM levels WHERE len(h) > 1),
+    tops AS (SELECT tree, h[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM levels WHERE len(h) = 1),
+    upper_levels AS (
+      SELECT 1000 AS level, list(subroot ORDER BY tree) AS h FROM tops
+      UNION ALL
+      SELECT level + 1, list_transform(range(1, (len(h) + 1) // 2 + 1), lambda i: sha256(h[2 * i - 1] || coalesce(h[2 * i], '')))
+      FROM upper_levels WHERE len(h) > 1),
+    steps AS (
+      SELECT doc_id, level, place >> level AS spot, h FROM leaves JOIN levels USING (tree) WHERE len(h) > 1
+      UNION ALL
+      SELECT doc_id, level, tops.place >> (level - 1000), h FROM leaves JOIN tops USING (tree), upper_levels WHERE len(h) > 1),
+    met AS (SELECT doc_id, level, CASE WHEN spot % 2 = 1 THEN 'L' ELSE 'R' END AS side, h[xor(spot, 1) + 1] AS other FROM steps),
+    paths AS (SELECT doc_id, list(CASE WHEN other IS NULL THEN '-' ELSE side || other END ORDER BY level) AS path,
+      string_agg(other, '' ORDER BY level) AS proof FROM met GROUP BY doc_id),
+    folded AS (
+      SELECT doc_id, leaf, subroot, sha256(coalesce(proof, '')) AS proof_sha256,
+        substr(list_reduce(list_prepend('x' || now, coalesce(path, [])), lambda a, s: 'x' || sha256(CASE s[1]
+          WHEN 'L' THEN s[2:] || a[2:] WHEN 'R' THEN a[2:] || s[2:] ELSE a[2:] END)), 2) AS folded_root
+      FROM leaves JOIN tops USING (tree) LEFT JOIN paths USING (doc_id))
+    SELECT doc_id, leaf, subroot, h[1] AS root, proof_sha256, folded_root, folded_root = h[1] AS verified
+    FROM folded, upper_levels WHERE len(h) = 1""")
+def merkle_manifest(spark, sf_dir):
+    """``n_chars`` of some documents reads one more than when the manifest was made."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    stored = manifest.manifest(
+        table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"],
+        {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return manifest.verify(stored).withColumnRenamed("key", "doc_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmark.session import cut
+
 # A list of keys is broadcast up to this many rows (some tens of MB), and joined by a shuffle beyond.
 BROADCAST_KEYS = 500_000
 
@@ -25,3 +27,27 @@ def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is not in a table, without a shuffle of the rows if the table is small."""
     keys = keys.select(*on).distinct()
     return rows.join(F.broadcast(keys) if few(keys) else keys, on, "left_anti")
+
+
+# Rows that one range of ``numbered`` has on average.
+RANGE_ROWS = 100_000
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Written rows with ``place``: the row's number, from 0, in the order of its group.
+
+    ``rows`` must be a written table, and ``order`` must not leave ties other than equal rows. Ranges of all rows are
+    sorted on their own, so no group ever meets in one task; the starts of the groups in the ranges are a table of at
+    most as many rows as there are ranges and groups. Runs jobs.
+    """
+    ranges = rows.count() // RANGE_ROWS + 1
+    by = [F.col(g).asc() for g in group] + order
+    at = F.monotonically_increasing_id()  # the number of the range, then 33 bits for the place in it
+    held = cut(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_at", at), name)
+    held = held.withColumn("_range", F.shiftright("_at", 33))
+    starts = held.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    starts = F.broadcast(starts) if few(starts) else starts
+    return held.join(starts, ["_range", *group]).withColumn(
+        "place", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_first", "_before")
