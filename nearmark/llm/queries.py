@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmark.llm import (
-    chat, decontaminate, langid, manifest, mixing, neardup, phrases, quality, recompression, secrets, suffixes, warc,
+    chat, decontaminate, langid, licences, manifest, mixing, neardup, phrases, quality, recompression, secrets, suffixes, warc,
 )
 from nearmark.session import cut
 
@@ -151,6 +151,51 @@ def repeated_words(spark, sf_dir):
     return recompression.summary(recompression.repeated_words(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def _templates() -> str:
+    """The templates as rows of comparison SQL."""
+
+    def quoted(values) -> str:
+        return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+    return ", ".join(f"({i}, '{t.label}', {t.exact}, {quoted(t.words)}, {quoted(t.phrases)})" for i, t in enumerate(licences.Settings().templates))
+
+
+@query("op11_licences", r"""
+    WITH t(id, label, exact, template, keys) AS (VALUES """ + _templates() + r"""),
+    w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+    spread AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM w),
+    entries AS (SELECT id, exact, unnest(template) AS word, unnest(range(len(template))) AS spot FROM t),
+    seen AS (SELECT word, count(DISTINCT doc_id) AS n FROM spread WHERE word IN (SELECT word FROM entries) GROUP BY word),
+    known AS (
+      SELECT entries.*, row_number() OVER (PARTITION BY id ORDER BY n, word, spot) AS rarity FROM entries JOIN seen USING (word)),
+    anchors AS (SELECT *, count(*) OVER (PARTITION BY id) AS of FROM known WHERE rarity <= CASE WHEN exact THEN 1 ELSE 6 END),
+    starts AS (
+      SELECT doc_id, id, place - spot AS start, count(*) AS agreeing, any_value(of) AS of FROM spread JOIN anchors USING (word)
+      GROUP BY doc_id, id, place - spot HAVING count(*) >= least(4, any_value(of))),
+    near AS (
+      SELECT starts.*, label, exact, keys, ' ' || array_to_string(words[greatest(start - CASE WHEN exact THEN 0 ELSE 6 END, 0) + 1:
+        start + len(template) + CASE WHEN exact THEN 0 ELSE 6 END], ' ') || ' ' AS body
+      FROM starts JOIN t USING (id) JOIN w USING (doc_id)),
+    found AS (SELECT *, agreeing / of AS score FROM near WHERE len(list_filter(keys, lambda k: NOT contains(body, ' ' || k || ' '))) = 0),
+    told AS (
+      SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        max(score) AS score FROM found GROUP BY doc_id)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+      coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM w LEFT JOIN told USING (doc_id)""")
+def licence_scan(spark, sf_dir):
+    found = licences.scan(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("licences", lambda x: x["exact"])
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), licences.labels(base).alias("base_labels"), licences.labels(F.col("licences")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licences", lambda x: x["score"])), F.lit(0.0)).alias("score"))
+
+
 @query("op12_phrases", r"""
     WITH pieces AS (
       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
