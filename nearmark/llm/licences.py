@@ -193,7 +193,8 @@ def scan(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -
 
         licences = F.coalesce(F.transform(found, told).cast(kind), licences)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "licences")]
-    return held.select(*kept, F.size("words").cast("long").alias("n_words"), _once(licences).alias("licences"))
+    scanned = held.select("row", F.size("words").cast("long").alias("n"), _once(licences).alias("found"))
+    return scanned.select(*kept, F.col("n").alias("n_words"), F.col("found").alias("licences"))
 
 
 def labels(licences: Column) -> Column:

@@ -21,6 +21,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,13 +64,13 @@ def climb_run(hashes: list[bytes], levels: int) -> tuple[bytes, list[list[dict]]
     return below[0], paths
 
 
-def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _climb(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.list_(pa.struct([("side", pa.int8()), ("hash", pa.binary())])))
     for batch in batches:
         tops, paths = [], []
         for size, held in zip(batch.column("size").to_pylist(), batch.column("held"), strict=True):
             hashes = held.values.field("hash").to_pylist()
-            top, found = climb_run(hashes, min(TIER_LEVELS, (size - 1).bit_length()))
+            top, found = climb_run(hashes, min(most, (size - 1).bit_length()))
             tops.append(top)
             paths.append(found)
         yield pa.RecordBatch.from_arrays(
@@ -84,11 +85,12 @@ def build(nodes: DataFrame, payload: list[str], name: str) -> list[DataFrame]:
     ``size`` up to ``RUN`` are the last of their tree.
     """
     tiers = []
+    climb = partial(_climb, most=TIER_LEVELS)
     while True:
         held = F.sort_array(F.collect_list(F.struct("place", "leaves", *(payload if not tiers else []), "hash")))
         runs = nodes.groupBy("tree", F.shiftright("place", TIER_LEVELS).alias("run"), "size").agg(F.sum("leaves").alias("leaves"), held.alias("held"))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
-        tiers.append(cut(runs.mapInArrow(_climb, f"{schema}, top binary, paths {PATHS}"), f"{name}-{len(tiers)}"))
+        tiers.append(cut(runs.mapInArrow(climb, f"{schema}, top binary, paths {PATHS}"), f"{name}-{len(tiers)}"))
         if not tiers[-1].where(F.col("size") > RUN).limit(1).count():
             return tiers
         nodes = tiers[-1].where(F.col("size") > RUN).select(
@@ -158,7 +160,6 @@ def manifest(docs: DataFrame, key: str, group: str, fields: list[str], current:
     return Manifest(_nodes(trees[0], 0), upper, bytes(root.top) if root else None)
 
 
-_HEX = "lower(hex({}))"
 _FOLD = """aggregate({path}, {start}, (h, s) -> unhex(sha2(CASE WHEN s.side < 0 THEN concat(lower(hex(s.hash)), lower(hex(h)))
   WHEN s.side > 0 THEN concat(lower(hex(h)), lower(hex(s.hash))) ELSE lower(hex(h)) END, 256)))"""
 _PROOF = "aggregate({path}, {start}, (p, s) -> CASE WHEN s.side = 0 THEN p ELSE concat(p, s.hash) END)"

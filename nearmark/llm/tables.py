@@ -49,5 +49,9 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str)
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     starts = F.broadcast(starts) if few(starts) else starts
-    return held.join(starts, ["_range", *group]).withColumn(
+    starts = starts.withColumnsRenamed({c: f"_{c}" for c in ["_range", *group]})
+    same = held["_range"] == starts["__range"]
+    for g in group:
+        same &= held[g].eqNullSafe(starts[f"_{g}"])
+    return held.join(starts, same).drop("__range", *[f"_{g}" for g in group]).withColumn(
         "place", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_first", "_before")
