@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearmark.llm.tables import few, numbered
+from nearmark.llm.tables import few, numbered, setting
 from nearmark.session import cut
 
 RESULTS = ["leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
@@ -188,14 +188,10 @@ def verify(stored: Manifest) -> DataFrame:
         **names, above=ABOVE, first=_FOLD.format(path="path", start="coalesce(node.now, node.hash)"),
         first_proof=_PROOF.format(path="path", start="CAST('' AS BINARY)"), fold=_FOLD.format(path="n.path", start="c.folded"),
         proof=_PROOF.format(path="n.path", start="c.proof"))
-    limit = "spark.sql.cteRecursionRowLimit"  # counts the rows of all rounds, here a few for each leaf
-    before = spark.conf.get(limit, None)
-    spark.conf.set(limit, "-1")
-    try:
+    # the limit counts the rows of all rounds, here a few for each leaf
+    with setting(spark, "spark.sql.cteRecursionRowLimit", "-1"):
         climbed = cut(spark.sql(query), "manifest-climbed")
-    finally:
-        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
-        for n in names.values():
-            spark.catalog.dropTempView(n)
+    for n in names.values():
+        spark.catalog.dropTempView(n)
     root = F.lit(stored.root.hex() if stored.root else None).cast("string")
     return climbed.withColumn("root", root).withColumn("verified", F.col("folded_root") == F.col("root")).select("key", *RESULTS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearmark.session import cut
@@ -11,6 +14,17 @@ from nearmark.session import cut
 BROADCAST_KEYS = 500_000
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def few(keys: DataFrame, limit: int | None = None) -> bool:
     """Whether a table of keys is small enough to broadcast. Runs a job."""
     limit = BROADCAST_KEYS if limit is None else limit
