@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ def matched_pairs(parts: DataFrame, catalog: Catalog, options: Options = DEFAULT
     """Matching pairs of distinct parts (``chain_id, part``) and rules, from one job per rule type in use."""
     found = [JOBS[t].matches(parts, catalog.rules, row, options) for t, row in sorted(catalog.profile.items())]
     if not found:
-        empty = ", ".join(f"{c} {t}" for c, t in _RESULT_SCHEMA.items())
+        empty = ", ".join(f"{c} {t}" for c, t in RESULT_SCHEMA.items())
         return parts.sparkSession.createDataFrame([], empty)
     return reduce(DataFrame.unionByName, found)
 
@@ -49,24 +50,31 @@ def scored_pairs(parts: DataFrame, catalog: Catalog, options: Options = DEFAULTS
     return reduce(DataFrame.unionByName, tables)
 
 
-_RESULT_SCHEMA = {
+RESULT_SCHEMA = {
     "chain_id": "bigint", "part": "string", "set_id": "bigint", "rule_idx": "int", "rule_type": "string",
     "exit_on_match": "boolean", "soundex_type": "string", "max_code_length": "int", "metaphone_type": "string",
     **RESULT_TYPES,
 }
 
 
-def match_values(values: DataFrame, catalog: Catalog, options: Options = DEFAULTS, report_all: bool = False) -> DataFrame:
+Find = Callable[[DataFrame, Catalog, Options], DataFrame]
+
+
+def match_values(values: DataFrame, catalog: Catalog, options: Options = DEFAULTS, report_all: bool = False,
+                 find: Find | None = None) -> DataFrame:
     """Match rows of distinct values: one row per value, part and rule.
 
-    All rules run on distinct parts: a label that occurs in a million values is compared once.
+    All rules run on distinct parts: a label that occurs in a million values is compared once. ``find`` gives the
+    matching pairs in place of :func:`matched_pairs`, as a :class:`~nearmark.streaming.memory.MatchMemory` does.
     """
+    if find is not None and report_all:
+        raise ValueError("a report of every comparison cannot use kept matches")
     configure(values.sparkSession)
     occurrences = make_parts(values, catalog)
     counted = occurrences.groupBy("chain_id", "part").agg(F.count("*").alias("n"))
-    pairs = scored_pairs if report_all else matched_pairs
-    if len(catalog.profile) > INLINE_JOBS:
-        # many jobs read the parts: one written table instead of one copy of the plan in each
+    pairs = scored_pairs if report_all else find or matched_pairs
+    if len(catalog.profile) > INLINE_JOBS or find is not None:
+        # read by many jobs, or at several times: one written table instead of one copy of the plan in each
         counted = cut(counted, "parts")
     found = pairs(counted.select("chain_id", "part"), catalog, options)
     found = early_exit(found) if catalog.has_exits else without_exit(found)
@@ -83,13 +91,13 @@ def with_set_names(rows: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def match_strings(rows: DataFrame, column: str, catalog: Catalog, options: Options = DEFAULTS,
-                  report_all: bool = False) -> DataFrame:
+                  report_all: bool = False, find: Find | None = None) -> DataFrame:
     """Compare the strings of a column with a catalog: the rows that matched, once per match.
 
     ``report_all`` also returns the comparisons that did not match.
     """
     values = distinct_values(rows, column)
-    found = with_set_names(match_values(values, catalog, options, report_all), catalog)
+    found = with_set_names(match_values(values, catalog, options, report_all, find), catalog)
     found = found.select(F.col("value").alias(column), *MATCH_COLUMNS)
     clash = [c for c in rows.columns if c in MATCH_COLUMNS]
     if clash:
@@ -101,9 +109,9 @@ def match_strings(rows: DataFrame, column: str, catalog: Catalog, options: Optio
     return hot_join(rows, found, [column], hot, others).drop("row_number_")
 
 
-def match_targets(values: DataFrame, catalog: Catalog, options: Options = DEFAULTS) -> DataFrame:
+def match_targets(values: DataFrame, catalog: Catalog, options: Options = DEFAULTS, find: Find | None = None) -> DataFrame:
     """Match rows of a column ``value`` that already is distinct, with set names."""
-    found = with_set_names(match_values(values, catalog, options), catalog)
+    found = with_set_names(match_values(values, catalog, options, find=find), catalog)
     return found.select("value", *MATCH_COLUMNS)
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +75,42 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="nearmark-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scope = getattr(_scopes, "paths", None)
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+_scopes = threading.local()  # a stream's batches run in a thread of their own
+
+
+@contextmanager
+def _scope(paths: list[str] | None) -> Iterator[None]:
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = paths
+    try:
+        yield
+    finally:
+        _scopes.paths = outer
+
+
+def lasting_scratch():
+    """Scratch tables that are written inside outlive the scope around."""
+    return _scope(None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the scratch tables that were written inside. For work whose results are stored by then."""
+    paths: list[str] = []
+    try:
+        with _scope(paths):
+            yield
+    finally:
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rules", "records", "parts", "results"]
+MODULES = ["rules", "records", "parts", "results", "batches"]
 
 
 def _collect(attribute: str) -> dict:
