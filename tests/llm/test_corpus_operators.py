@@ -116,7 +116,9 @@ def phrase_rows():
     return rows
 
 
-def test_phrases_equal_plain_counts_with_broadcast_and_with_joined_dictionaries(spark):
+def test_phrases_equal_plain_counts_with_broadcast_and_with_joined_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PAIRS_PER_BUCKET", 1000)
+    monkeypatch.setattr(phrases, "BUFFER_PAIRS", 100)
     rows = phrase_rows()
     want = sorted(plain_phrases(rows, 3))
     assert len(want) > 50 and {w[0] for w in want} == {"en", "fr", "und"}
