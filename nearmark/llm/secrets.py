@@ -35,9 +35,13 @@ _ASSIGN_KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of any length of which those under 24 are dropped
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key)["']?"""
-    r"""[\x20\t]{0,8}(?:[:=]|\bis\b)[\x20\t]{0,8}(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\x20\x09-\x0D"',;]{6,}))""",
-    re.ASCII | re.IGNORECASE)
+    r"""(?<![^\W_])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key)["']?"""
+    r"""[\x20\t]{0,8}(?:[:=]|(\bis\b))[\x20\t]{0,8}(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\x20\x09-\x0D]{6,}))""",
+    re.IGNORECASE)
+# What closes a sentence or a bracket around an unquoted value, and is not taken for a part of it.
+_CLOSING = "\"'.,;:!?)]}>"
+# A word of prose, of any language: letters with inner hyphens or apostrophes.
+_PROSE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "credential", "key")
 
 # Frequent password words, most frequent first.
@@ -135,6 +139,16 @@ def log10_guesses(value: str) -> float:
     return best[n]
 
 
+def is_prose(value: str) -> bool:
+    """Whether a value is written like words of a text: only letters, without case in the middle of a word.
+
+    "the token is available" names no secret, and neither does a quoted sentence; a random string of this length has digits,
+    signs or capitals among its letters, but for about one in 300 of eight letters and more that are lower case throughout.
+    """
+    words = re.split(r"[\x20,;.:!?()]+", value.strip(_CLOSING))
+    return all(_PROSE.fullmatch(w) and (w.islower() or w.istitle() or w.isupper()) for w in words if w)
+
+
 def spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, int, float | None]]:
     """``(start, kind, end, log10 of guesses)`` of one text; the cost is null for the fixed patterns."""
     found: list[tuple[int, int, int, float | None]] = []
@@ -148,7 +162,9 @@ def spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, int,
         taken = [(s, e) for s, _, e, _ in found]
         for m in _CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if any(s <= start and end <= e for s, e in taken):
+            if m.lastindex == 4:
+                end = start + len(text[start:end].rstrip(_CLOSING))
+            if end - start < 6 or any(s <= start and end <= e for s, e in taken) or is_prose(text[start:end]):
                 continue
             cost = log10_guesses(text[start:end])
             if cost >= min_log10:
