@@ -70,6 +70,22 @@ SECRETS = [
 ]
 
 
+@pytest.mark.parametrize("text", [
+    "the token is available now", "The secret is patience and practice.", "The compass: northwards we go", "A password is something-private.",
+    "passwords: yesterday, today and tomorrow", "pwd: 'a sentence of several words'", "Das Token ist größtenteils, credential is Überraschung!",
+])
+def test_prose_names_no_secret(text):
+    assert [s for s in secrets.spans(text) if s[1] == 3] == []
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ("password: kJ8,mQ2ab#vL9!xR", "kJ8,mQ2ab#vL9!xR"), ("token: a;Zk83hQpL9xWm2, then", "a;Zk83hQpL9xWm2"),
+    ("(pwd = xY9$kk22!aQ'z).", "xY9$kk22!aQ'z"), ('my_password is "kJ8mQ2ab vL9!xR"', "kJ8mQ2ab vL9!xR"),
+])
+def test_values_are_taken_whole(text, value):
+    assert [text[s:e] for s, k, e, _ in secrets.spans(text) if k == 3] == [value]
+
+
 def test_secret_spans(spark):
     rows = secrets.scan(docs_of(spark, SECRETS)).orderBy("doc_id").collect()
     for text, r in zip(SECRETS, rows, strict=True):
