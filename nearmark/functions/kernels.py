@@ -119,6 +119,12 @@ def osa(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(osa_distances(_bytes(left), _bytes(right)))
 
 
+@F.pandas_udf(IntegerType())
+def osa_bytes(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The same for strings that hold one character per byte."""
+    return pd.Series(osa_distances(*[[list(t.encode("latin-1")) for t in texts] for texts in (left, right)]))
+
+
 @F.pandas_udf(DoubleType())
 def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(jaro_scores(_chars(left), _chars(right)))

@@ -14,11 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from nearmark.functions.kernels import osa, osa_scan, osa_scan_all
+from nearmark.functions.kernels import osa, osa_bytes, osa_scan, osa_scan_all
 from nearmark.functions.text import byte_string, from_byte_string, known, substrings
 from nearmark.operators.joins import key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
-from nearmark.schemas import result_columns
+from nearmark.operators.windows import find_short, part_id
+from nearmark.schemas import RESULT_TYPES, result_columns
 
 K = F.col
 LIMIT = ("maximum_distance",)
@@ -192,26 +193,54 @@ def _score_hamming(pairs: DataFrame, options: Options) -> DataFrame:
 
 # --- substring rules ----------------------------------------------------------------------------------
 
+# A target whose segments would have fewer bytes than this is found by its windows: nearly every part has such segments.
+SEGMENT_BYTES = 3
 
-def _part_id(part: Column) -> Column:
-    """Short parts name themselves; long ones are named by a digest, which is longer than any of them."""
-    return F.when(F.octet_length(part) < 64, part).otherwise(F.sha2(part, 256))
 
+def _same_length(shifts) -> Callable[[Column, Column], tuple]:
+    """Shifts for strings of equal length only."""
 
-def _find_in_text(touched: int, score) -> Callable:
+    def only(delta: Column, i: Column) -> tuple[Column, Column]:
+        low, high = shifts(delta, i)
+        return F.when(delta == 0, low).otherwise(1), F.when(delta == 0, high).otherwise(0)
+
+    return only
+
+
+def _plain_distance(parts: DataFrame, targets: DataFrame, profile: Row, equal: bool) -> DataFrame:
+    """Pairs ``chain_id, pb, pl, tb, k, tl`` within the limit, with the distance ``d``."""
+    within = F.expr("levenshtein(pb, tb, k) >= 0")
+    shifts, within = (_same_length(_levenshtein_shifts), within & (K("pl") == K("tl"))) if equal else (_levenshtein_shifts, within)
+    pairs = _near_pairs(parts, targets, profile, 1, shifts, within)
+    return pairs.withColumn("d", F.levenshtein("pb", "tb"))
+
+
+def _swap_distance(parts: DataFrame, targets: DataFrame, profile: Row, equal: bool) -> DataFrame:
+    parts = parts.withColumn("ps", F.explode(F.array(_sorted_bytes(K("pb")))))
+    targets = targets.withColumn("ts", _sorted_bytes(K("tb")))
+    within = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and
+        levenshtein(ps, ts, 2 * (2 * k - levenshtein(pb, tb, 2 * k))) >= 0""")
+    shifts, within = (_same_length(_swap_shifts), within & (K("pl") == K("tl"))) if equal else (_swap_shifts, within)
+    pairs = _near_pairs(parts, targets, profile, 2, shifts, within).drop("ps", "ts")
+    return pairs.withColumn("d", osa_bytes("pb", "tb")).where("d <= k")
+
+
+def _find_in_text(touched: int, score, distance) -> Callable:
     """Candidates share one unchanged segment anywhere in the part, since the window may be anywhere.
 
-    ``touched`` is the number of segments one edit can touch.
+    ``touched`` is the number of segments one edit can touch. Targets with short segments go by their windows.
     """
 
     def find(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
         segments = touched * K("k") + 1
         payload = [c for c in rules.columns if c not in ("chain_id", "target", "maximum_distance")]
-        cut = _rule_segments(_target_bytes(rules), segments)
+        long = F.octet_length("target") >= SEGMENT_BYTES * (touched * K("maximum_distance") + 1)
+        columns = ["chain_id", "part", *payload, *RESULT_TYPES]
+        cut = _rule_segments(_target_bytes(rules.where(long)), segments)
         keys = cut.select("chain_id", "segment", "k", "tl", "tb", *payload).distinct()
         # the segment lengths in use; few, because they follow from target lengths and limits
         sizes = cut.select("chain_id", F.char_length("segment").alias("size")).distinct()
-        named = parts.select("chain_id", "part", known(_part_id(K("part"))).alias("part_id"))
+        named = parts.select("chain_id", "part", known(part_id(K("part"))).alias("part_id"))
         grams = (
             named.join(F.broadcast(sizes), "chain_id")
             .select("chain_id", "part_id", F.octet_length("part").alias("pl"),
@@ -224,12 +253,13 @@ def _find_in_text(touched: int, score) -> Callable:
         pairs = candidates.join(named, ["chain_id", "part_id"]).withColumns(
             {"target": from_byte_string(K("tb")), "maximum_distance": K("k")})
         pairs = pairs.select("chain_id", "part", "target", "maximum_distance", *payload)
-        if min(profile.lengths) <= touched * max(profile.distances):
-            short = rules.where(F.octet_length("target") <= touched * K("maximum_distance"))
-            wide = sliced_join(parts.select("chain_id", "part"), short, ["chain_id"], size_bound(profile),
-                               F.octet_length("part") + K("maximum_distance") >= F.octet_length("target"))
-            pairs = pairs.unionByName(wide.select(*pairs.columns))
-        return score(pairs, options).where("match")
+        found = score(pairs, options).where("match").select(*columns)
+        if min(profile.lengths) >= SEGMENT_BYTES * (touched * max(profile.distances) + 1):
+            return found
+        short = find_short(
+            parts, rules.where(~long), lambda p, t: distance(_part_bytes(p), t, profile, False).withColumn("part", from_byte_string(K("pb"))),
+            lambda w, t: distance(w, t, profile, True), lambda p: score(p, options), bound, options.substring_mode == "exhaustive")
+        return found.unionByName(short.select(*columns))
 
     return find
 
@@ -307,5 +337,5 @@ def _score_damerau_text(pairs: DataFrame, options: Options) -> DataFrame:
 register(RuleJob("levenshtein", _score_levenshtein, _find_levenshtein, LIMIT))
 register(RuleJob("damerau_levenshtein", _score_damerau, _find_damerau, LIMIT))
 register(RuleJob("hamming", _score_hamming, _find_hamming, LIMIT))
-register(RuleJob("levenshtein_substring", _score_levenshtein_text, _find_in_text(1, _score_levenshtein_text), LIMIT))
-register(RuleJob("damerau_levenshtein_substring", _score_damerau_text, _find_in_text(2, _score_damerau_text), LIMIT))
+register(RuleJob("levenshtein_substring", _score_levenshtein_text, _find_in_text(1, _score_levenshtein_text, _plain_distance), LIMIT))
+register(RuleJob("damerau_levenshtein_substring", _score_damerau_text, _find_in_text(2, _score_damerau_text, _swap_distance), LIMIT))
