@@ -24,15 +24,19 @@ QUERIES, ORACLES, query = registry()
 # --- sources --------------------------------------------------------------------------------------------
 
 
-@query("json_lines_source", """
-    SELECT 'numbers' AS kind, props AS value FROM events
-    UNION ALL SELECT 'text', 'text ' || replace(text, chr(10), ' ') FROM conversations""")
+_STRINGS = """'{"k":"' || event_type || '","event_id":' || event_id || '}'"""
+_MIXED = """mixed AS (
+      SELECT 'json' AS kind, props AS value FROM events UNION ALL SELECT 'json', {strings} FROM events
+      UNION ALL SELECT 'json', '[' || props || ']' FROM events UNION ALL SELECT 'json', user_id::VARCHAR FROM events
+      UNION ALL SELECT 'text', 'text ' || {text} FROM conversations)"""
+
+
+@query("json_lines_source", "WITH " + _MIXED.format(strings=_STRINGS, text="replace(text, chr(10), ' ')") + " SELECT kind, value FROM mixed")
 def json_lines_source(spark, sf_dir):
     path = scratch_folder(spark, "lines")
-    mixed = mixed_records(spark, sf_dir).where("input_type in ('numbers', 'text')")
-    write_json_lines(mixed.withColumn("value", F.regexp_replace("value", "\n", " ")), path)
+    write_json_lines(mixed_records(spark, sf_dir).withColumn("value", F.regexp_replace("value", "\n", " ")), path)
     lines = R.read_json_lines(spark, path)
-    return lines.select(F.when(R.parsed(F.col("value")).isNull(), "text").otherwise("numbers").alias("kind"), "value")
+    return lines.select(F.when(R.parsed(F.col("value")).isNull(), "text").otherwise("json").alias("kind"), "value")
 
 
 @query("multi_input_union", """
@@ -169,7 +173,6 @@ def valid_json_filter(spark, sf_dir):
     return kept.groupBy("input_type").agg(F.count("*").alias("records"))
 
 
-_STRINGS = """'{"k":"' || event_type || '","event_id":' || event_id || '}'"""
 
 
 @query("object_filter", f"""SELECT 'numbers' AS input_type, props AS value FROM events
@@ -207,12 +210,13 @@ def input_counters_query(spark, sf_dir):
     return input_counters(mixed_records(spark, sf_dir))
 
 
-@query("output_counters", """
-    SELECT 'file' AS output_type, count(*) AS output_objects, sum(strlen(props) + 1)::BIGINT AS output_bytes FROM events
-    UNION ALL SELECT 'kafka', count(*), sum(strlen(props))::BIGINT FROM events""")
+@query("output_counters", "WITH " + _MIXED.format(strings=_STRINGS, text="replace(text, chr(10), ' ')") + """
+    SELECT 'file' AS output_type, count(*) AS output_objects, sum(strlen(value) + 1)::BIGINT AS output_bytes FROM mixed""")
 def output_counters_query(spark, sf_dir):
-    out = mixed_records(spark, sf_dir).where("input_type = 'numbers'")
-    return output_counters(out, "file").unionByName(output_counters(out, "kafka"))
+    """Counted from the lines that the sink wrote."""
+    path = scratch_folder(spark, "out")
+    write_json_lines(mixed_records(spark, sf_dir).withColumn("value", F.regexp_replace("value", "\n", " ")), path)
+    return output_counters(R.read_json_lines(spark, path), "file")
 
 
 @query("json_lines_sink", f"""WITH {sql.WORDS}, {sql.targets()}
@@ -248,10 +252,8 @@ def fan_out_query(spark, sf_dir):
         spark.read.parquet(parquet).agg(F.count("*").alias("records")).select(F.lit("parquet").alias("sink"), "records"))
 
 
-@query("serialise_or_original", """
-    SELECT 'enriched' AS value, count(*) AS records FROM events GROUP BY 1
-    UNION ALL SELECT 'text ' || text, count(*) FROM conversations GROUP BY 1""")
+@query("serialise_or_original", "WITH " + _MIXED.format(strings=_STRINGS, text="text") + """
+    SELECT CASE WHEN kind = 'json' THEN 'enriched' ELSE value END AS value, count(*) AS records FROM mixed GROUP BY 1""")
 def serialise_or_original(spark, sf_dir):
-    mixed = mixed_records(spark, sf_dir).where("input_type in ('numbers', 'text')")
-    out = mixed.select(serialised(F.col("value"), F.lit("enriched")))
+    out = mixed_records(spark, sf_dir).select(serialised(F.col("value"), F.lit("enriched")))
     return out.groupBy("value").agg(F.count("*").alias("records"))
