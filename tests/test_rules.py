@@ -90,8 +90,8 @@ CASES = {
     "levenshtein": [rule("levenshtein", maximum_distance=k) for k in (0, 1, 3)],
     "damerau": [rule("damerau_levenshtein", maximum_distance=k) for k in (1, 2, 3)],
     "hamming": [rule("hamming", maximum_distance=k) for k in (0, 1, 3)],
-    "windows": [rule("levenshtein_substring", maximum_distance=k) for k in (0, 1)],
-    "swap_windows": [rule("damerau_levenshtein_substring", maximum_distance=k) for k in (0, 1)],
+    "windows": [rule("levenshtein_substring", maximum_distance=k) for k in (0, 1, 3)],
+    "swap_windows": [rule("damerau_levenshtein_substring", maximum_distance=k) for k in (0, 1, 2)],
     "jaccard": [rule("jaccard", minimum_similarity=s) for s in (0, 0.5, 0.8, 1)],
     "jaro": [rule("jaro", match_percent_threshold=p) for p in (0, 0.6, 0.9)],
     "winkler": [rule("jaro_winkler", match_percent_threshold=p) for p in (0.3, 0.75, 0.9)],
