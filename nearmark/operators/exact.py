@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from nearmark.functions.network import address_bits, cidr_bits
-from nearmark.functions.patterns import portable, required_literal
+from nearmark.functions.patterns import FOLD_FROM, FOLD_TO, portable, required_texts
 from nearmark.functions.text import substrings
 from nearmark.operators.joins import ROW_OVERHEAD, key_join, size_bound
 from nearmark.operators.jobs import Options, RuleJob, register
@@ -109,6 +112,7 @@ def _score_cidr(pairs: DataFrame, options: Options) -> DataFrame:
 # --- regular expressions --------------------------------------------------------------------------------
 
 GRAM = 3
+TEXTS_CHECKED = 3
 
 
 @F.pandas_udf(StringType())
@@ -116,31 +120,60 @@ def _portable(patterns: pd.Series) -> pd.Series:
     return patterns.map(lambda p: None if p is None else portable(p))
 
 
-@F.pandas_udf(StringType())
-def _literal(patterns: pd.Series) -> pd.Series:
-    return patterns.map(lambda p: None if p is None else required_literal(p))
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _needs(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: [] if p is None else required_texts(p))
+
+
+def _folded(col: Column) -> Column:
+    return F.translate(col, FOLD_FROM, FOLD_TO)
+
+
+def _gram_keys(branches: DataFrame) -> DataFrame:
+    """Every branch with each gram of its texts, of three characters where one of them has as many."""
+    longest = F.array_max(F.transform("texts", F.char_length))
+    sized = branches.withColumn("size", F.least(longest, F.lit(GRAM)))
+    grams = F.array_distinct(F.flatten(F.transform("texts", lambda t: substrings(t, K("size")))))
+    return sized.withColumn("gram", F.explode(grams))
 
 
 def regex_hits(parts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs ``chain_id, part, pattern`` of distinct parts and the patterns found in them.
+    """Pairs ``chain_id, part, pattern`` of distinct parts and the patterns found in them, each once.
 
-    A pattern that requires some text of three or more characters only meets the parts that share its
-    first three; the others have to be tried on every part.
+    What a pattern requires is a choice of branches, each a set of texts. A branch meets the parts that have
+    its rarest gram, counted over all parts, and contain its longest texts; a branch with a gram that no part has meets
+    none. Only a pattern that may match without any certain text is tried on every part.
     """
     distinct = patterns.select("chain_id", "pattern").distinct().withColumns(
-        {"java": _portable("pattern"), "literal": _literal("pattern")})
-    sized = distinct.agg(F.count("*").alias("n"), F.max(F.octet_length("pattern")).alias("target_bytes"),
-                         F.min(F.char_length("literal")).alias("shortest")).first()
-    bound = (sized.n or 0) * (6 * (sized.target_bytes or 0) + ROW_OVERHEAD)
+        {"java": _portable("pattern"), "needs": _needs("pattern")})
+    text_bytes = F.aggregate(F.flatten("needs"), F.lit(0), lambda n, t: n + F.octet_length(t))
+    # one key a branch; a pattern has at most as many as its own length, or the bound of a product
+    key_bytes = F.size("needs") * (6 * F.octet_length("pattern") + ROW_OVERHEAD) + 28 * text_bytes
+    sized = distinct.agg(F.sum(key_bytes).alias("keys"), F.sum(text_bytes * (ROW_OVERHEAD + 4 * GRAM)).alias("grams"),
+                         F.max(F.size("needs")).alias("most"), F.min(F.size("needs")).alias("least")).first()
     parts = parts.select("chain_id", "part")
-    keyed = distinct.where(F.char_length("literal") >= GRAM).withColumn("gram", F.left("literal", F.lit(GRAM)))
-    grams = parts.withColumn("gram", F.explode(F.array_distinct(substrings(K("part"), F.lit(GRAM)))))
-    near = key_join(grams, keyed, ["chain_id", "gram"], bound, F.expr("contains(part, literal) and part rlike java"))
-    hits = near.select("chain_id", "part", "pattern")
-    if (sized.shortest or 0) < GRAM:
-        tried = _try_all(parts, distinct.where(F.char_length("literal") < GRAM))
-        hits = hits.unionByName(tried.select("chain_id", "part", "pattern"))
-    return hits
+    tables = []
+    if sized.most:
+        branches = distinct.select("chain_id", "pattern", "java", F.posexplode("needs").alias("branch", "texts"))
+        keyed = _gram_keys(branches)
+        wanted = keyed.select("chain_id", "gram").distinct()
+        sizes = keyed.select("chain_id", "size").distinct()  # at most three a chain
+        folded = _folded(K("part"))
+        grams = parts.join(F.broadcast(sizes), "chain_id").withColumn("gram", F.explode(F.array_distinct(substrings(folded, K("size"))))).drop("size")
+        counts = key_join(grams, wanted, ["chain_id", "gram"], sized.grams).groupBy("chain_id", "gram").agg(F.count("*").alias("n"))
+        rarest = keyed.join(counts, ["chain_id", "gram"]).groupBy("chain_id", "pattern", "branch").agg(
+            F.first("java").alias("java"), F.first("texts").alias("texts"), F.min(F.struct("n", "gram")).alias("key"))
+        # the longest texts are looked for as they are, the pattern itself decides
+        longest = [F.coalesce(F.get("texts", F.lit(i)), F.lit("")).alias(f"text{i}") for i in range(TEXTS_CHECKED)]
+        keys = rarest.select("chain_id", K("key.gram").alias("gram"), "pattern", "java", *longest)
+        inside = reduce(and_, [F.contains(folded, K(f"text{i}")) for i in range(TEXTS_CHECKED)]) & F.expr("part rlike java")
+        hits = key_join(grams, keys, ["chain_id", "gram"], sized.keys, inside).select("chain_id", "part", "pattern")
+        tables.append(hits.distinct() if sized.most > 1 else hits)
+    if sized.least == 0:
+        tables.append(_try_all(parts, distinct.where(F.size("needs") == 0)).select("chain_id", "part", "pattern"))
+    if not tables:
+        return parts.withColumn("pattern", F.lit(None).cast("string")).limit(0)
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _try_all(parts: DataFrame, patterns: DataFrame) -> DataFrame:

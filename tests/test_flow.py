@@ -150,11 +150,11 @@ def test_exclusion_patterns_alike_in_any_number(spark):
 
 
 def test_nested_classes_are_refused():
-    from nearmark.functions.patterns import pattern_problem, required_literal
+    from nearmark.functions.patterns import pattern_problem, required_texts
 
     for pattern in ("[[:alpha:]]com", "[a-c[x]]com$", "[a-z&&[^b]]com", "[a-z--b]com"):
-        assert "not supported" in pattern_problem(pattern) and required_literal(pattern) == ""
-    assert pattern_problem(r"[\[a-z]com\.$") is None and required_literal(r"[\[a-z]com\.$") == "com."
+        assert "not supported" in pattern_problem(pattern) and required_texts(pattern) == []
+    assert pattern_problem(r"[\[a-z]com\.$") is None and required_texts(r"[\[a-z]com\.$") == [["com."]]
 
 
 def test_many_splits_keep_their_order(spark):

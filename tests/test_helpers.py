@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from nearmark.functions import domains, kernels, lookalike, paths
-from nearmark.functions.patterns import pattern_problem, portable, required_literal
+from nearmark.functions.patterns import pattern_problem, portable, required_texts
 from nearmark.sources import kafka
 
 
@@ -35,8 +35,8 @@ def test_patterns():
     assert pattern_problem("[") and pattern_problem("a(?=b)") and pattern_problem(r"(a)\1")
     assert pattern_problem(r"netflix\.com\.$") is None
     assert portable(r"com\.$") == r"(?U)com\.\z" and portable("[$]") == "(?U)[$]"
-    assert required_literal("^.?abc(s|ed)?$") == "abc" and required_literal("abc|def") == ""
-    assert required_literal("ab{2,3}cd") == "cd" and required_literal(r"\d+foo") == "foo"
+    assert required_texts("^.?abc(s|ed)?$") == [["abc"]] and required_texts("abc|def") == [["abc"], ["def"]]
+    assert required_texts("ab{2,3}cd") == [["abb", "cd"]] and required_texts(r"\d+foo") == [["foo"]]
 
 
 def slow_osa(a, b):
