@@ -18,6 +18,9 @@ SALTS = 16
 # A value that occurs more often than this is spread over several tasks.
 HOT_ROWS = 2_000_000
 ROW_OVERHEAD = 160
+# A bitmap of 32 MB, in the pieces that Spark's bitmap functions use.
+BITMAP_BITS = 1 << 28
+PIECE_BITS = 1 << 15
 
 
 def size_bound(profile: Row, keys_per_rule: int = 1) -> int:
@@ -87,3 +90,17 @@ def hot_join(rows: DataFrame, found: DataFrame, on: list[str], hot: DataFrame, s
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
     ).drop("salts")
     return marked.join(copies, [*on, "salt"], how).drop("salt")
+
+
+def possible_rows(rows: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` may be in ``found``: all that are, and of the others ``found.count() / BITMAP_BITS`` at most.
+
+    The hashes of ``found`` set bits of a bitmap, which is broadcast and has the same size however many there are.
+    """
+    bit = F.pmod(F.xxhash64(on), F.lit(BITMAP_BITS))
+    piece, place = F.floor(bit / PIECE_BITS).cast("int").alias("piece_"), bit % PIECE_BITS
+    pieces = found.select(piece, place.alias("place_")).groupBy("piece_").agg(
+        F.bitmap_construct_agg("place_").alias("bits_"))
+    byte = F.conv(F.hex(F.substring("bits_", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("piece_", piece).join(F.broadcast(pieces), "piece_")
+    return marked.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("piece_", "bits_")

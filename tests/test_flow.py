@@ -194,3 +194,28 @@ def test_an_escaped_result_key_is_replaced_too(spark):
     for r in df.select("value", add_member(F.col("value"), "nameMatches", F.lit("[9]")).alias("out")).collect():
         pairs = json.loads(r.out, object_pairs_hook=list)
         assert [k for k, _ in pairs].count("nameMatches") == 1 and dict(pairs)["nameMatches"] == [9]
+
+
+def test_matches_beyond_a_broadcast_give_the_same_records(spark, monkeypatch):
+    targets = spark.createDataFrame([("test",), ("other",)], "target string")
+    rules = catalog_from_targets(targets, "target", [{"rule_type": "levenshtein", "values": {"maximum_distance": 1}}])
+    names = ["tset", "test", "tests", "others", "far away", "", "nothing"] * 5
+    records = spark.createDataFrame([("file", json.dumps({"name": n, "row": i})) for i, n in enumerate(names)], "input_type string, value string")
+    whole = sorted(r.value for r in enrich(records, ".name", rules).collect())
+    assert len(whole) == 15
+    monkeypatch.setattr("nearmark.plans.enrich.BROADCAST_BYTES", 0)
+    assert sorted(r.value for r in enrich(records, ".name", rules).collect()) == whole
+    assert enrich(records.limit(0), ".name", rules).collect() == []
+
+
+def test_a_bitmap_keeps_every_match_and_few_others(spark):
+    from nearmark.operators.joins import possible_rows
+
+    names = spark.range(20000).select(F.concat(F.lit("name"), "id").alias("name"))
+    found = names.where("name like '%7'")
+    kept = possible_rows(names.unionByName(names), found, "name")
+    assert kept.columns == ["name"]
+    counts = kept.groupBy(F.expr("name like '%7'").alias("wanted")).count().collect()
+    counts = {r.wanted: r["count"] for r in counts}
+    assert counts[True] == 4000 and counts.get(False, 0) < 20
+    assert possible_rows(names, found.limit(0), "name").count() == 0
