@@ -84,6 +84,28 @@ def substrings(col: Column, size: Column) -> Column:
         lambda i: F.substring(text, i + 1, size)))
 
 
+BITMAP_WORDS = 4
+
+
+def letter_bitmap(col: Column) -> Column:
+    """Four 64-bit words with a bit for the n-th occurrence of each character.
+
+    Each bit that only one of two bitmaps has stands for a character that only that string has at that count. So the
+    bits of one without those of the other never number more than the edits between the strings, swaps not counted,
+    wherever two characters share a bit. ``col`` is used several times and should be a plain column.
+    """
+    bits = F.flatten(F.transform(F.array_distinct(characters(col)), lambda c: F.transform(
+        F.sequence(F.lit(1), F.char_length(col) - F.char_length(F.replace(col, c, F.lit("")))),
+        lambda n: F.pmod(F.xxhash64(c, n), F.lit(64 * BITMAP_WORDS)).cast("int"))))
+
+    def word(found: Column, w: int) -> Column:
+        mine = F.filter(found, lambda b: F.floor(b / 64) == w)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)))
+
+    return once(bits, lambda found: F.struct(*[word(found, w).alias(f"word{w}") for w in range(BITMAP_WORDS)]))
+
+
 def quoted(col: Column) -> Column:
     """A string as a JSON string literal."""
     wrapped = F.to_json(F.array(col))

@@ -2,20 +2,23 @@
 
 Lengths and positions count bytes. Candidates come from the pigeonhole
 principle: a target is cut into more segments than the allowed edits can touch,
-so at least one segment occurs unchanged in every match, near its old place. A
-target too short to be cut that often is compared with all parts of a possible
-length instead.
+so at least one segment occurs unchanged in every match, near its old place.
+Where the segments would be too short to say much, or a part would have more
+keys than there are targets to look at, parts meet all targets of a possible length
+instead, and bitmaps of their letters rule out most pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import osa, osa_bytes, osa_scan, osa_scan_all
-from nearmark.functions.text import byte_string, from_byte_string, known, substrings
+from nearmark.functions.text import BITMAP_WORDS, byte_string, from_byte_string, known, letter_bitmap, substrings
 from nearmark.operators.joins import key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.operators.windows import find_short, part_id
@@ -54,7 +57,35 @@ def _rule_segments(rules: DataFrame, segments: Column) -> DataFrame:
     return cut.withColumn("segment", known(F.substring("tb", start + 1, size)))
 
 
-def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Callable[[Column, Column], tuple]) -> DataFrame:
+# What a key of a part costs, in comparisons of two bitmaps.
+KEY_COST = 40
+# Letters that are about as likely as the bytes of a text, and the pairs that keys may let through, one in so many.
+LETTERS = 12
+PAIRS_KEPT = 8
+NEVER = 1 << 30
+
+
+def least_cut(profile: Row, touched: int) -> dict[int, int]:
+    """For each limit of a rule type the length from which targets are cut into segments.
+
+    A part has a key for each target length in reach, segment and shift. More than ``rules / KEY_COST`` of them cost
+    more than a look at every rule, and then no target is cut.
+    """
+    least = {}
+    for k in sorted(profile.distances):
+        segments = touched * k + 1
+        keys = segments * (k + 1)
+        size = next(n for n in count(1) if LETTERS ** n >= PAIRS_KEPT * keys or k == 0)
+        least[k] = size * segments if (2 * k + 1) * keys * KEY_COST <= profile.n else NEVER
+    return least
+
+
+def _by_limit(values: dict[int, int]) -> Column:
+    return F.coalesce(*[F.when(K("k") == k, F.lit(v)) for k, v in values.items()], F.lit(NEVER))
+
+
+def _part_segments(parts: DataFrame, profile: Row, least: Column, segments: Column,
+                   shifts: Callable[[Column, Column], tuple]) -> DataFrame:
     """The substrings of each part that could be a segment of a target in the catalog, each once per segment."""
     start, size = _segment(segments, K("i"))
     low, high = shifts(F.col("pl") - F.col("tl"), K("i"))
@@ -64,8 +95,8 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
     return (
         parts.where("pl > 0")
         .withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(profile.distances)])))
-        .where(F.col("pl") + F.col("k") >= segments)
-        .withColumn("tl", F.explode(F.sequence(F.greatest(F.col("pl") - F.col("k"), segments), F.col("pl") + F.col("k"))))
+        .where(F.col("pl") + F.col("k") >= least)
+        .withColumn("tl", F.explode(F.sequence(F.greatest(F.col("pl") - F.col("k"), least), F.col("pl") + F.col("k"))))
         .where(F.col("tl").isin(sorted(profile.lengths)))
         .withColumn("i", F.explode(F.sequence(F.lit(0), segments - 1)))
         .withColumns({"low": low.cast("int"), "high": high.cast("int")})
@@ -77,26 +108,53 @@ def _part_segments(parts: DataFrame, profile: Row, segments: Column, shifts: Cal
     )
 
 
-def _short_pairs(parts: DataFrame, rules: DataFrame, profile: Row, segments: Column, condition: Column) -> DataFrame:
-    """Targets too short to cut, against the parts whose length allows a match."""
-    short = rules.where(F.col("tl") < segments)
+def _with_bitmap(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    # what comes out of explode is worked out once
+    made = rows.withColumn("bitmap", F.explode(F.array(letter_bitmap(K(text)))))
+    return made.withColumns({f"{prefix}{w}": K(f"bitmap.word{w}") for w in range(BITMAP_WORDS)}).drop("bitmap")
+
+
+def _letters_within() -> Column:
+    """Whether both sides have at most ``k`` letters that the other side lacks, as far as bitmaps tell."""
+
+    def lacking(left: str, right: str) -> Column:
+        return reduce(Column.__add__, [
+            F.bit_count(K(f"{left}{w}").bitwiseAND(F.bitwise_not(K(f"{right}{w}")))) for w in range(BITMAP_WORDS)])
+
+    return (lacking("p_", "t_") <= K("k")) & (lacking("t_", "p_") <= K("k"))
+
+
+def _length_pairs(parts: DataFrame, rules: DataFrame, profile: Row, condition: Column) -> DataFrame:
+    """Targets that are not cut, against the parts whose length allows a match."""
     span = 2 * (profile.distance or 0) + 1
-    by_length = short.withColumn(
+    by_length = rules.withColumn(
         "pl", F.explode(F.sequence(F.greatest(F.col("tl") - F.col("k"), F.lit(0)), F.col("tl") + F.col("k"))))
     return sliced_join(parts, by_length, ["chain_id", "pl"], size_bound(profile, span), condition)
 
 
-def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int, shifts, condition: Column) -> DataFrame:
-    """All pairs that may be within the limit and pass ``condition``, each once."""
-    segments = touched * K("k") + 1
-    keyed = key_join(
-        _part_segments(parts, profile, segments, shifts), _rule_segments(rules, segments),
-        ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1), condition,
-    ).drop("i", "segment")
-    if min(profile.lengths) > touched * max(profile.distances):
-        return keyed.distinct()
-    # a target is either long enough to be cut or compared whole
-    return keyed.distinct().unionByName(_short_pairs(parts, rules, profile, segments, condition))
+def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int, shifts, condition: Column,
+                scratch: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs that may be within the limit and pass ``condition``, each once, without the ``scratch`` columns.
+
+    No edit or swap changes more than one letter of each side into another, so bitmaps come before ``condition``.
+    """
+    lengths = least_cut(profile, touched)
+    least, segments = _by_limit(lengths), touched * K("k") + 1
+    # no longer part can match, and the bitmap of a long text is the work of many short ones
+    parts = _with_bitmap(parts.where(K("pl") <= max(profile.lengths) + max(profile.distances)), "pb", "p_")
+    rules = _with_bitmap(rules, "tb", "t_")
+    condition = _letters_within() & condition
+    scratch = [*scratch, *[f"{side}_{w}" for side in "pt" for w in range(BITMAP_WORDS)]]
+    found = []
+    if min(lengths.values()) <= max(profile.lengths):
+        found.append(key_join(
+            _part_segments(parts, profile, least, segments, shifts), _rule_segments(rules.where(K("tl") >= least), segments),
+            ["chain_id", "k", "tl", "i", "segment"], size_bound(profile, touched * (profile.distance or 0) + 1), condition,
+        ).drop("i", "segment", *scratch).distinct())
+    if min(profile.lengths) < max(lengths.values()):
+        # a target is either cut or compared whole
+        found.append(_length_pairs(parts, rules.where(K("tl") < least), profile, condition).drop(*scratch))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _levenshtein_shifts(delta: Column, i: Column) -> tuple[Column, Column]:
@@ -147,7 +205,7 @@ def _find_damerau(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
     rules = rules.withColumn("ts", _sorted_bytes(K("tb")))
     possible = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and
         levenshtein(ps, ts, 2 * (2 * k - levenshtein(pb, tb, 2 * k))) >= 0""")
-    pairs = _near_pairs(parts, rules, profile, 2, _swap_shifts, possible).drop("ps", "ts")
+    pairs = _near_pairs(parts, rules, profile, 2, _swap_shifts, possible, ("ps", "ts"))
     scored = pairs.withColumn("distance", osa("part", from_byte_string(K("tb")))).where("distance <= k")
     return scored.withColumnRenamed("distance", "d").select("*", *result_columns(match=F.lit(True), distance=K("d")))
 
@@ -221,7 +279,7 @@ def _swap_distance(parts: DataFrame, targets: DataFrame, profile: Row, equal: bo
     within = F.expr("""levenshtein(pb, tb, 2 * k) >= 0 and
         levenshtein(ps, ts, 2 * (2 * k - levenshtein(pb, tb, 2 * k))) >= 0""")
     shifts, within = (_same_length(_swap_shifts), within & (K("pl") == K("tl"))) if equal else (_swap_shifts, within)
-    pairs = _near_pairs(parts, targets, profile, 2, shifts, within).drop("ps", "ts")
+    pairs = _near_pairs(parts, targets, profile, 2, shifts, within, ("ps", "ts"))
     return pairs.withColumn("d", osa_bytes("pb", "tb")).where("d <= k")
 
 

@@ -1,13 +1,15 @@
 """Rule vectors, sound codes against commons-codec, and keyed jobs against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from nearmark import Options, catalog_from_targets, match_strings
-from nearmark.functions import phonetic
-from nearmark.operators import joins
+from nearmark.functions import phonetic, text
+from nearmark.operators import edit, joins
 from nearmark.operators.preprocess import make_parts
 from nearmark.plans.match import matched_pairs, scored_pairs
 
@@ -106,28 +108,77 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("kind", ["levenshtein", "damerau_levenshtein", "hamming"])
-def test_edits_of_longer_words_equal_brute_force(spark, kind):
-    rng = random.Random(7)
+def edited(rng, word, times):
+    for _ in range(times):
+        i = rng.randrange(len(word) + 1)
+        word = rng.choice([
+            word[:i] + word[i + 1:], word[:i] + rng.choice("abé") + word[i:], word[:i] + rng.choice("abé") + word[i + 1:],
+            word[:i] + word[i:i + 2][::-1] + word[i + 2:]])
+    return word
 
-    def edited(word, times):
-        for _ in range(times):
-            i = rng.randrange(len(word) + 1)
-            word = rng.choice([
-                word[:i] + word[i + 1:], word[:i] + rng.choice("abé") + word[i:], word[:i] + rng.choice("abé") + word[i + 1:],
-                word[:i] + word[i:i + 2][::-1] + word[i + 2:]])
-        return word
 
+# all targets cut, and none
+@pytest.mark.parametrize("key_cost", [0, 10 ** 9])
+@pytest.mark.parametrize("kind", ["levenshtein", "damerau_levenshtein", "hamming"])
+def test_edits_of_longer_words_equal_brute_force(spark, monkeypatch, kind, key_cost):
+    monkeypatch.setattr(edit, "KEY_COST", key_cost)
+    rng = random.Random(7)
     targets = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 13))) for _ in range(12)]
-    words = sorted({edited(t, rng.randint(0, 4)) for t in targets for _ in range(40)})
+    words = sorted({edited(rng, t, rng.randint(0, 4)) for t in targets for _ in range(40)})
     catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in targets], "t string"), "t",
                                    [rule(kind, maximum_distance=k) for k in (1, 2, 3)])
     check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
 
 
+@pytest.mark.parametrize("kind", ["levenshtein", "damerau_levenshtein"])
+def test_narrow_and_wide_limits_in_one_catalog(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    targets = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", "a"]
+    words = sorted({edited(rng, t, rng.choice([0, 1, 2, 8, 10, 12])) for t in targets for _ in range(6)} | {"", "z" * 400})
+    catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in set(targets)], "t string"), "t",
+                                   [rule(kind, maximum_distance=k) for k in (1, 10)])
+    touched = 1 if kind == "levenshtein" else 2
+    monkeypatch.setattr(edit, "KEY_COST", 1)
+    least = edit.least_cut(catalog.profile[kind], touched)
+    assert least[1] <= 40 and least[10] == edit.NEVER
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
+    monkeypatch.setattr(edit, "KEY_COST", 0)
+    assert edit.least_cut(catalog.profile[kind], touched)[10] < edit.NEVER
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
+
+
+def test_parts_have_fewer_keys_than_there_are_rules(spark):
+    parts = spark.createDataFrame([("c", "ab" * n) for n in range(200)], "chain_id string, part string")
+    for limits in ([1, 10], [0, 2, 3, 6]):
+        profile = Row(n=100_000, distances=limits, lengths=list(range(1, 300)))
+        for touched, shifts in ((1, edit._levenshtein_shifts), (2, edit._swap_shifts)):
+            lengths = edit.least_cut(profile, touched)
+            assert min(lengths.values()) < edit.NEVER
+            least, segments = edit._by_limit(lengths), touched * F.col("k") + 1
+            keys = edit._part_segments(edit._part_bytes(parts), profile, least, segments, shifts)
+            most = keys.groupBy("part", "k").count().agg(F.max("count")).first()[0]
+            assert 0 < most <= profile.n / edit.KEY_COST
+            assert keys.agg(F.min(F.char_length("segment"))).first()[0] >= 1
+
+
+def test_bitmaps_never_tell_more_than_edits(spark):
+    rng = random.Random(11)
+    # more letters than bits, so that some share one
+    letters = [chr(c) for c in range(256) if c != 0]
+    lefts = ["".join(rng.choice(letters[: rng.choice([2, 20, 255])]) for _ in range(rng.choice([0, 1, 5, 30, 600]))) for _ in range(60)]
+    rows = [(a, b) for a in lefts for b in [a, a[::-1], a[1:], a + "x", edited(rng, a, 6), rng.choice(lefts)]]
+    word = [f"word{w}" for w in range(text.BITMAP_WORDS)]
+    for row in spark.createDataFrame(rows, "a string, b string").select(
+            "a", "b", text.letter_bitmap(F.col("a")).alias("x"), text.letter_bitmap(F.col("b")).alias("y")).collect():
+        lacking = sum(bin(row.x[w] & ~row.y[w] & (2 ** 64 - 1)).count("1") for w in word)
+        assert lacking <= sum((Counter(row.a) - Counter(row.b)).values())
+        assert bool(row.a) == any(row.x[w] for w in word)
+
+
 @pytest.mark.parametrize("name", ["levenshtein", "damerau", "jaccard", "jaro", "soundex", "regex"])
 def test_shuffled_salted_and_sliced_joins_equal_brute_force(spark, monkeypatch, name):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 6000)
+    monkeypatch.setattr(edit, "KEY_COST", 0)
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abcdet1") for _ in range(rng.randint(0, 6))) for _ in range(60)})
     catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in words[::6]], "t string"), "t", CASES[name])

@@ -34,6 +34,17 @@ def levenshtein_join(spark, sf_dir):
     return found(spark, sf_dir, catalog(spark, sf_dir, rule("levenshtein", maximum_distance=2)), "distance")
 
 
+@query("limit_by_length_join", with_words("""
+    SELECT word, target, levenshtein(word, target)::INT AS distance FROM w JOIN t
+      ON abs(strlen(word) - strlen(target)) <= strlen(target) // 3 AND levenshtein(word, target) <= strlen(target) // 3"""))
+def limit_by_length_join(spark, sf_dir):
+    """Every target has a limit of its own, a third of its length, so that narrow and wide limits share a catalog."""
+    limits = targets(spark, sf_dir).select(
+        F.lit("words").alias("group_name"), F.col("target").alias("rule_set"), "target", F.lit(0).alias("rule_idx"),
+        F.lit("levenshtein").alias("rule_type"), F.floor(F.octet_length("target") / 3).cast("int").alias("maximum_distance"))
+    return found(spark, sf_dir, catalog_from_rules(limits), "distance")
+
+
 _OSA = f"""
     , near AS (SELECT word, target, {sql.byte_text('word')} AS a, {sql.byte_text('target')} AS b FROM w JOIN t
         ON abs(strlen(word) - strlen(target)) <= 2 AND levenshtein(word, target) <= 4),
