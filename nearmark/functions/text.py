@@ -87,6 +87,19 @@ def substrings(col: Column, size: Column) -> Column:
 BITMAP_WORDS = 4
 
 
+def _bitmap(bits: Column) -> Column:
+    def word(found: Column, w: int) -> Column:
+        mine = F.filter(found, lambda b: F.floor(b / 64) == w)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)))
+
+    return once(bits, lambda found: F.struct(*[word(found, w).alias(f"word{w}") for w in range(BITMAP_WORDS)]))
+
+
+def _bit(*token: Column) -> Column:
+    return F.pmod(F.xxhash64(*token), F.lit(64 * BITMAP_WORDS)).cast("int")
+
+
 def letter_bitmap(col: Column) -> Column:
     """Four 64-bit words with a bit for the n-th occurrence of each character.
 
@@ -94,16 +107,14 @@ def letter_bitmap(col: Column) -> Column:
     bits of one without those of the other never number more than the edits between the strings, swaps not counted,
     wherever two characters share a bit. ``col`` is used several times and should be a plain column.
     """
-    bits = F.flatten(F.transform(F.array_distinct(characters(col)), lambda c: F.transform(
+    return _bitmap(F.flatten(F.transform(F.array_distinct(characters(col)), lambda c: F.transform(
         F.sequence(F.lit(1), F.char_length(col) - F.char_length(F.replace(col, c, F.lit("")))),
-        lambda n: F.pmod(F.xxhash64(c, n), F.lit(64 * BITMAP_WORDS)).cast("int"))))
+        lambda n: _bit(c, n)))))
 
-    def word(found: Column, w: int) -> Column:
-        mine = F.filter(found, lambda b: F.floor(b / 64) == w)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)))
 
-    return once(bits, lambda found: F.struct(*[word(found, w).alias(f"word{w}") for w in range(BITMAP_WORDS)]))
+def token_bitmap(tokens: Column) -> Column:
+    """The same for a set of tokens: bits that one of two bitmaps lacks never number more than the tokens it lacks."""
+    return _bitmap(F.transform(tokens, lambda token: _bit(token)))
 
 
 def quoted(col: Column) -> Column:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import osa, osa_bytes, osa_scan, osa_scan_all
-from nearmark.functions.text import BITMAP_WORDS, byte_string, from_byte_string, known, letter_bitmap, substrings
+from nearmark.functions.text import byte_string, from_byte_string, known, letter_bitmap, substrings
+from nearmark.operators import bitmaps
 from nearmark.operators.joins import key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.operators.windows import find_short, part_id
@@ -57,8 +58,6 @@ def _rule_segments(rules: DataFrame, segments: Column) -> DataFrame:
     return cut.withColumn("segment", known(F.substring("tb", start + 1, size)))
 
 
-# What a key of a part costs, in comparisons of two bitmaps.
-KEY_COST = 40
 # Letters that are about as likely as the bytes of a text, and the pairs that keys may let through, one in so many.
 LETTERS = 12
 PAIRS_KEPT = 8
@@ -68,7 +67,7 @@ NEVER = 1 << 30
 def least_cut(profile: Row, touched: int) -> dict[int, int]:
     """For each limit of a rule type the length from which targets are cut into segments.
 
-    A part has a key for each target length in reach, segment and shift. More than ``rules / KEY_COST`` of them cost
+    A part has a key for each target length in reach, segment and shift. More than ``rules / bitmaps.KEY_COST`` of them cost
     more than a look at every rule, and then no target is cut.
     """
     least = {}
@@ -76,7 +75,7 @@ def least_cut(profile: Row, touched: int) -> dict[int, int]:
         segments = touched * k + 1
         keys = segments * (k + 1)
         size = next(n for n in count(1) if LETTERS ** n >= PAIRS_KEPT * keys or k == 0)
-        least[k] = size * segments if (2 * k + 1) * keys * KEY_COST <= profile.n else NEVER
+        least[k] = size * segments if (2 * k + 1) * keys * bitmaps.KEY_COST <= profile.n else NEVER
     return least
 
 
@@ -108,22 +107,6 @@ def _part_segments(parts: DataFrame, profile: Row, least: Column, segments: Colu
     )
 
 
-def _with_bitmap(rows: DataFrame, text: str, prefix: str) -> DataFrame:
-    # what comes out of explode is worked out once
-    made = rows.withColumn("bitmap", F.explode(F.array(letter_bitmap(K(text)))))
-    return made.withColumns({f"{prefix}{w}": K(f"bitmap.word{w}") for w in range(BITMAP_WORDS)}).drop("bitmap")
-
-
-def _letters_within() -> Column:
-    """Whether both sides have at most ``k`` letters that the other side lacks, as far as bitmaps tell."""
-
-    def lacking(left: str, right: str) -> Column:
-        return reduce(Column.__add__, [
-            F.bit_count(K(f"{left}{w}").bitwiseAND(F.bitwise_not(K(f"{right}{w}")))) for w in range(BITMAP_WORDS)])
-
-    return (lacking("p_", "t_") <= K("k")) & (lacking("t_", "p_") <= K("k"))
-
-
 def _length_pairs(parts: DataFrame, rules: DataFrame, profile: Row, condition: Column) -> DataFrame:
     """Targets that are not cut, against the parts whose length allows a match."""
     span = 2 * (profile.distance or 0) + 1
@@ -141,10 +124,11 @@ def _near_pairs(parts: DataFrame, rules: DataFrame, profile: Row, touched: int,
     lengths = least_cut(profile, touched)
     least, segments = _by_limit(lengths), touched * K("k") + 1
     # no longer part can match, and the bitmap of a long text is the work of many short ones
-    parts = _with_bitmap(parts.where(K("pl") <= max(profile.lengths) + max(profile.distances)), "pb", "p_")
-    rules = _with_bitmap(rules, "tb", "t_")
-    condition = _letters_within() & condition
-    scratch = [*scratch, *[f"{side}_{w}" for side in "pt" for w in range(BITMAP_WORDS)]]
+    near = parts.where(K("pl") <= max(profile.lengths) + max(profile.distances))
+    parts = bitmaps.with_bitmap(near, letter_bitmap(K("pb")), "p_")
+    rules = bitmaps.with_bitmap(rules, letter_bitmap(K("tb")), "t_")
+    condition = (bitmaps.lacking("p_", "t_") <= K("k")) & (bitmaps.lacking("t_", "p_") <= K("k")) & condition
+    scratch = [*scratch, *bitmaps.bitmap_columns("p_", "t_")]
     found = []
     if min(lengths.values()) <= max(profile.lengths):
         found.append(key_join(

@@ -5,25 +5,32 @@ tokens". With both sets in one global order, the first ``a - need + s`` and the
 first ``b - need + s`` tokens must then share at least ``s`` of them, so every
 combination of ``s`` tokens from these prefixes is an exact join key. A larger
 ``s`` makes keys rarer but more numerous; it cannot exceed ``need``. Where
-nothing has to be shared, ``s`` is 0 and the one empty key compares everything
-of those sizes.
+nothing has to be shared, or an item would have more keys than there are
+targets of a size, everything of those two sizes meets, and bitmaps of the
+tokens rule out most pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearmark.functions.kernels import jaro, jaro_winkler
 from nearmark.functions.phonetic import match_rating_code, refined_soundex_code, soundex_code
-from nearmark.functions.text import characters, index_combinations, is_ascii, known, occurrence_tokens, position_tokens, rare_first
-from nearmark.operators.joins import hot_join, hot_keys, key_join, size_bound
+from nearmark.functions.text import characters, index_combinations, is_ascii, known, occurrence_tokens, position_tokens, rare_first, token_bitmap
+from nearmark.operators import bitmaps
+from nearmark.operators.bitmaps import with_bitmap
+from nearmark.operators.joins import ROW_OVERHEAD, hot_join, hot_keys, key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
+from nearmark.session import cut
 
 K = F.col
+
+
 def _ceil(value: Column) -> Column:
     # a need that is a whole number must not be rounded up by floating-point noise
     return F.ceil(value - 1e-9).cast("int")
@@ -34,47 +41,72 @@ def _key_size(need: Column, slack: Column) -> Column:
     return F.least(need, F.when(slack <= 6, 3).when(slack <= 15, 2).otherwise(1))
 
 
+def _combinations(places: Column, size: Column) -> Column:
+    return F.when(size == 1, places).when(size == 2, places * (places - 1) / 2).when(
+        size == 3, places * (places - 1) * (places - 2) / 6).otherwise(1).cast("bigint")
+
+
 def shared_token_pairs(left: DataFrame, right: DataFrame, need: Callable[[Column, Column, Column], Column],
                        bound: int, weighted: bool = False) -> DataFrame:
     """Pairs ``chain_id, item, other, p`` that may share enough tokens, each once.
 
     ``left`` has ``chain_id, item, tokens``; ``right`` has ``chain_id, p, other, tokens`` where ``p``
     is the threshold. Both hold distinct items. With ``weighted``, ``need`` also reads the byte
-    lengths ``wa`` and ``wb`` of the items.
+    lengths ``wa`` and ``wb`` of the items. Runs jobs: both sides are written once and read by every step.
     """
-    def weight(name: str) -> Column:
-        return F.coalesce(F.octet_length(name), F.lit(0)) if weighted else F.lit(0)
-
-    # generated code would work the tokens out again for every row a join makes of an item; a value
-    # that comes out of explode is there already
-    left = left.withColumn("tokens", F.explode(F.array("tokens")))
-    right = right.withColumn("tokens", F.explode(F.array("tokens")))
-    # one token per character, so sizes need no tokens
-    left = left.withColumns({"a": F.coalesce(F.char_length("item"), F.lit(0)), "wa": weight("item")})
-    right = right.withColumns({"b": F.coalesce(F.char_length("other"), F.lit(0)), "wb": weight("other")})
-    # which sizes can match at all, and how long a key is for them; bounded by the distinct sizes, squared
+    def ready(side: DataFrame, item: str, size: str, weight: str, prefix: str) -> DataFrame:
+        # one token per character, so sizes need no tokens
+        sized = side.withColumns({
+            size: F.coalesce(F.char_length(item), F.lit(0)),
+            weight: F.coalesce(F.octet_length(item), F.lit(0)) if weighted else F.lit(0),
+            "tokens": F.explode(F.array("tokens"))})
+        return cut(with_bitmap(sized, token_bitmap(K("tokens")), prefix), "token-sets")
+
+    left, right = ready(left, "item", "a", "wa", "p_"), ready(right, "other", "b", "wb", "t_")
+    # which sizes can match at all, how long a key is for them, and whether keys pay; at most the distinct sizes, squared
+    counted = right.groupBy("chain_id", "p", "b", "wb").agg(
+        F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("other")), F.lit(0)).alias("text"))
     sizes = (
-        left.select("chain_id", "a", "wa").distinct()
-        .join(right.select("chain_id", "p", "b", "wb").distinct(), "chain_id")
+        left.select("chain_id", "a", "wa").distinct().join(counted, "chain_id")
         .withColumn("need", F.greatest(need(K("a"), K("b"), K("p")), F.lit(0)))
         .where(K("need") <= F.least("a", "b"))
         .withColumn("s", _key_size(K("need"), F.greatest("a", "b") - K("need")))
+        .withColumn("keys", _combinations(K("a") - K("need") + K("s"), K("s")))
+        .withColumn("by_key", (K("s") > 0) & (K("keys") * bitmaps.KEY_COST <= K("n")))
     )
-
-    def keyed(side: DataFrame, size: str, on: list[str]) -> DataFrame:
+    sizes = cut(sizes, "token-sizes")
+    total = sizes.agg(
+        F.sum(F.when(K("by_key"), K("keys") + _combinations(K("b") - K("need") + K("s"), K("s")))).alias("keys"),
+        F.sum(F.when(~K("by_key"), K("n"))).alias("rows"), F.max("text").alias("text")).first()
+    # a token that one side lacks may be a bit that its bitmap lacks, and there is room for so many of them only
+    possible = (bitmaps.lacking("p_", "t_") <= K("a") - K("need")) & (bitmaps.lacking("t_", "p_") <= K("b") - K("need"))
+
+    def keyed(side: DataFrame, item: str, size: str, on: list[str]) -> DataFrame:
         # the combinations depend on sizes only, so they are made once per size and not per item
-        places = sizes.withColumn("at", F.explode(index_combinations(K(size) - K("need") + K("s"), K("s"))))
-        rows = side.join(F.broadcast(places.drop("s")), on)
+        places = sizes.where("by_key").select("chain_id", "p", "a", "wa", "b", "wb", "need", F.explode(
+            index_combinations(K(size) - K("need") + K("s"), K("s"))).alias("at"))
+        rows = key_join(side, places, on, total.keys * 2 * ROW_OVERHEAD, by=[item])
         token = [F.get("tokens", F.get("at", F.lit(i))) for i in range(3)]
         return rows.withColumn("key", known(F.concat_ws("\u0001", *token))).drop("at")
 
-    # a shared key says that a pair may have enough in common, the whole token sets say whether it has
-    joined = key_join(
-        keyed(left, "a", ["chain_id", "a", "wa"]),
-        keyed(right, "b", ["chain_id", "p", "b", "wb"]).drop("need").withColumnRenamed("tokens", "others"),
-        ["chain_id", "p", "a", "wa", "b", "wb", "key"], bound,
-        F.size(F.array_intersect("tokens", "others")) >= K("need"), by=["item"])
-    return joined.select("chain_id", "item", "other", "p").distinct()
+    found = []
+    if total.keys:
+        # a shared key says that a pair may have enough in common, the whole token sets say whether it has
+        joined = key_join(
+            keyed(left, "item", "a", ["chain_id", "a", "wa"]),
+            keyed(right, "other", "b", ["chain_id", "p", "b", "wb"]).drop("need").withColumnRenamed("tokens", "others"),
+            ["chain_id", "p", "a", "wa", "b", "wb", "key"], bound,
+            possible & (F.size(F.array_intersect("tokens", "others")) >= K("need")), by=["item"])
+        found.append(joined.select("chain_id", "item", "other", "p").distinct())
+    if total.rows or not found:
+        whole = sizes.where("not by_key").select("chain_id", "p", "b", "wb", "a", "wa", "need")
+        rows = total.rows or 0
+        named = right.drop("tokens").withColumns({"set_id": F.xxhash64("other"), "rule_idx": F.lit(0)})
+        by_size = key_join(named, whole, ["chain_id", "p", "b", "wb"], rows * ROW_OVERHEAD, by=["other"])
+        met = sliced_join(left.drop("tokens"), by_size, ["chain_id", "a", "wa"],
+                          rows * (2 * (total.text or 0) + 2 * ROW_OVERHEAD), possible)
+        found.append(met.select("chain_id", "item", "other", "p"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _distinct_targets(rules: DataFrame, p: str, item: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearmark import Options, catalog_from_targets, match_strings
 from nearmark.functions import phonetic, text
-from nearmark.operators import edit, joins
+from nearmark.operators import bitmaps, edit, joins
 from nearmark.operators.preprocess import make_parts
 from nearmark.plans.match import matched_pairs, scored_pairs
 
@@ -121,7 +121,7 @@ def edited(rng, word, times):
 @pytest.mark.parametrize("key_cost", [0, 10 ** 9])
 @pytest.mark.parametrize("kind", ["levenshtein", "damerau_levenshtein", "hamming"])
 def test_edits_of_longer_words_equal_brute_force(spark, monkeypatch, kind, key_cost):
-    monkeypatch.setattr(edit, "KEY_COST", key_cost)
+    monkeypatch.setattr(bitmaps, "KEY_COST", key_cost)
     rng = random.Random(7)
     targets = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 13))) for _ in range(12)]
     words = sorted({edited(rng, t, rng.randint(0, 4)) for t in targets for _ in range(40)})
@@ -138,11 +138,11 @@ def test_narrow_and_wide_limits_in_one_catalog(spark, monkeypatch, kind):
     catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in set(targets)], "t string"), "t",
                                    [rule(kind, maximum_distance=k) for k in (1, 10)])
     touched = 1 if kind == "levenshtein" else 2
-    monkeypatch.setattr(edit, "KEY_COST", 1)
+    monkeypatch.setattr(bitmaps, "KEY_COST", 1)
     least = edit.least_cut(catalog.profile[kind], touched)
     assert least[1] <= 40 and least[10] == edit.NEVER
     check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
-    monkeypatch.setattr(edit, "KEY_COST", 0)
+    monkeypatch.setattr(bitmaps, "KEY_COST", 0)
     assert edit.least_cut(catalog.profile[kind], touched)[10] < edit.NEVER
     check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "distance"])
 
@@ -157,10 +157,32 @@ def test_parts_have_fewer_keys_than_there_are_rules(spark):
             least, segments = edit._by_limit(lengths), touched * F.col("k") + 1
             keys = edit._part_segments(edit._part_bytes(parts), profile, least, segments, shifts)
             most = keys.groupBy("part", "k").count().agg(F.max("count")).first()[0]
-            assert 0 < most <= profile.n / edit.KEY_COST
+            assert 0 < most <= profile.n / bitmaps.KEY_COST
             assert keys.agg(F.min(F.char_length("segment"))).first()[0] >= 1
 
 
+# all sizes by keys, and none
+@pytest.mark.parametrize("key_cost", [0, 10 ** 9])
+@pytest.mark.parametrize("name", ["jaccard", "jaro", "winkler", "soundex", "rating"])
+def test_shared_tokens_equal_brute_force_by_keys_and_by_sizes(spark, monkeypatch, name, key_cost):
+    monkeypatch.setattr(bitmaps, "KEY_COST", key_cost)
+    rng = random.Random(17)
+    letters = "abcdest" if name == "soundex" else "abcdesté "
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 7, 12, 25]))) for _ in range(90)} | {"", "a"})
+    strings = sorted(set(words[::5]) | {edited(rng, w, 2) for w in words[::9]} | {""})
+    if name == "soundex":
+        strings = [s for s in strings if s.isascii()]
+    catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in strings], "t string"), "t", CASES[name])
+    check_against_all_pairs(spark, catalog, words, ["part", "set_id", "rule_idx", "similarity", "match_percent"])
+
+
+def test_shared_tokens_without_parts_or_targets(spark):
+    some, none = spark.createDataFrame([("name",)], "t string"), spark.createDataFrame([], "t string")
+    for rules in CASES["jaro"], CASES["jaccard"]:
+        for values, targets in ((none, some), (some, none)):
+            assert not match_strings(values, "t", catalog_from_targets(targets, "t", rules)).collect()
+
+
 def test_bitmaps_never_tell_more_than_edits(spark):
     rng = random.Random(11)
     # more letters than bits, so that some share one
@@ -178,7 +200,7 @@ def test_bitmaps_never_tell_more_than_edits(spark):
 @pytest.mark.parametrize("name", ["levenshtein", "damerau", "jaccard", "jaro", "soundex", "regex"])
 def test_shuffled_salted_and_sliced_joins_equal_brute_force(spark, monkeypatch, name):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 6000)
-    monkeypatch.setattr(edit, "KEY_COST", 0)
+    monkeypatch.setattr(bitmaps, "KEY_COST", 0)
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abcdet1") for _ in range(rng.randint(0, 6))) for _ in range(60)})
     catalog = catalog_from_targets(spark.createDataFrame([(s,) for s in words[::6]], "t string"), "t", CASES[name])
