@@ -22,7 +22,7 @@ from nearmark.functions.text import byte_string, from_byte_string, known, letter
 from nearmark.operators import bitmaps
 from nearmark.operators.joins import key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
-from nearmark.operators.windows import find_short, part_id
+from nearmark.operators.windows import PART_BYTES, find_short, part_id
 from nearmark.schemas import RESULT_TYPES, result_columns
 
 K = F.col
@@ -270,19 +270,23 @@ def _swap_distance(parts: DataFrame, targets: DataFrame, profile: Row, equal: bo
 def _find_in_text(touched: int, score, distance) -> Callable:
     """Candidates share one unchanged segment anywhere in the part, since the window may be anywhere.
 
-    ``touched`` is the number of segments one edit can touch. Targets with short segments go by their windows.
+    ``touched`` is the number of segments one edit can touch. Short parts, and targets with short segments, go by their windows.
     """
 
     def find(parts: DataFrame, rules: DataFrame, profile: Row, options: Options) -> DataFrame:
         segments = touched * K("k") + 1
         payload = [c for c in rules.columns if c not in ("chain_id", "target", "maximum_distance")]
-        long = F.octet_length("target") >= SEGMENT_BYTES * (touched * K("maximum_distance") + 1)
+
+        def short(length: Column, limit: Column) -> Column:
+            return length < SEGMENT_BYTES * (touched * limit + 1)
+
+        long = ~short(F.octet_length("target"), K("maximum_distance"))
         columns = ["chain_id", "part", *payload, *RESULT_TYPES]
         cut = _rule_segments(_target_bytes(rules.where(long)), segments)
         keys = cut.select("chain_id", "segment", "k", "tl", "tb", *payload).distinct()
         # the segment lengths in use; few, because they follow from target lengths and limits
         sizes = cut.select("chain_id", F.char_length("segment").alias("size")).distinct()
-        named = parts.select("chain_id", "part", known(part_id(K("part"))).alias("part_id"))
+        named = parts.where(F.octet_length("part") >= PART_BYTES).select("chain_id", "part", known(part_id(K("part"))).alias("part_id"))
         grams = (
             named.join(F.broadcast(sizes), "chain_id")
             .select("chain_id", "part_id", F.octet_length("part").alias("pl"),
@@ -296,12 +300,10 @@ def _find_in_text(touched: int, score, distance) -> Callable:
             {"target": from_byte_string(K("tb")), "maximum_distance": K("k")})
         pairs = pairs.select("chain_id", "part", "target", "maximum_distance", *payload)
         found = score(pairs, options).where("match").select(*columns)
-        if min(profile.lengths) >= SEGMENT_BYTES * (touched * max(profile.distances) + 1):
-            return found
-        short = find_short(
-            parts, rules.where(~long), lambda p, t: distance(_part_bytes(p), t, profile, False).withColumn("part", from_byte_string(K("pb"))),
-            lambda w, t: distance(w, t, profile, True), lambda p: score(p, options), bound, options.substring_mode == "exhaustive")
-        return found.unionByName(short.select(*columns))
+        by_window = find_short(
+            parts, rules, lambda p, t: distance(_part_bytes(p), t, profile, False).withColumn("part", from_byte_string(K("pb"))),
+            lambda w, t: distance(w, t, profile, True), lambda p: score(p, options), short, bound, options.substring_mode == "exhaustive")
+        return found.unionByName(by_window.select(*columns))
 
     return find
 

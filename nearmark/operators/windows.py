@@ -1,8 +1,9 @@
-"""Substring rules with short targets: distinct windows instead of pairs of parts and targets.
+"""Substring rules with short parts or targets: distinct windows instead of pairs of parts and targets.
 
 A segment of a short target has one or two bytes, which nearly every part contains, so segments prune nothing there. The
 windows of a target's length are few, though, because parts share them: each distinct window is compared once with
-the targets of its length, and the close ones are joined back to the places where they occur. What is left to do for a part and a
+the targets of its length, and the close ones are joined back to the places where they occur. A short part has few windows of
+any length, fewer than the targets it shares a segment with. What is left to do for a part and a
 target is to take the closest window, or, for the sliding scan, to follow it where it does not end at its first window.
 """
 
@@ -20,19 +21,31 @@ from nearmark.session import cut
 
 K = F.col
 PAIR = ["chain_id", "part_id", "tb", "k"]
+# Parts with fewer bytes are short.
+PART_BYTES = 64
+# So many parts are taken apart by one task.
+TASK_PARTS = 20_000
+PLACES = 1 << 32
 
 
 def part_id(part: Column) -> Column:
     """Short parts name themselves; long ones are named by a digest, which is longer than any of them."""
-    return F.when(F.octet_length(part) < 64, part).otherwise(F.sha2(part, 256))
+    return F.when(F.octet_length(part) < PART_BYTES, part).otherwise(F.sha2(part, 256))
+
+
+def dealt_parts(named: DataFrame) -> DataFrame:
+    """Parts dealt out by their ids, so that what is made of a part can be added up where it is made."""
+    spark = named.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-named.count() // TASK_PARTS))
+    return named.repartition(tasks, "chain_id", "part_id")
 
 
 def window_rows(named: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``chain_id, part_id, place, pl, pb``: the windows of each length in parts that are longer."""
+    """``chain_id, part_id, place, pl, pb``: the windows in parts that are longer; of long parts those of ``short`` lengths."""
     texts = named.select("chain_id", "part_id", F.explode(F.array(byte_string(K("part")))).alias("text"))
     room = F.char_length("text") - K("pl")
     return (
-        texts.join(F.broadcast(lengths), "chain_id").where(room > 0)
+        texts.join(F.broadcast(lengths), "chain_id").where((room > 0) & (K("short") | (F.char_length("text") < PART_BYTES)))
         .select("chain_id", "part_id", "pl", "text", F.explode(F.sequence(F.lit(0), room)).alias("place"))
         .select("chain_id", "part_id", "place", "pl", known(F.substring("text", K("place") + 1, K("pl"))).alias("pb"))
     )
@@ -48,10 +61,11 @@ def close_windows(windows: DataFrame, targets: DataFrame, near: Callable[[DataFr
 
 
 def find_short(parts: DataFrame, rules: DataFrame, whole: Callable[[DataFrame, DataFrame], DataFrame],
-               near: Callable[[DataFrame, DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], bound: int,
-               every_window: bool) -> DataFrame:
-    """Matches of substring rules whose targets are short.
+               near: Callable[[DataFrame, DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame],
+               short: Callable[[Column, Column], Column], bound: int, every_window: bool) -> DataFrame:
+    """Matches of substring rules where the part or the target is short.
 
+    ``short(length, limit)`` says of which targets matches in long parts are wanted.
     ``whole(parts, targets)`` gives ``chain_id, part, tb, k, d`` of the pairs within the limit as they are, which need no
     window. ``scan(pairs)`` follows the sliding scan of ``part, target, maximum_distance`` and adds the result columns.
     """
@@ -60,27 +74,36 @@ def find_short(parts: DataFrame, rules: DataFrame, whole: Callable[[DataFrame, D
     # the same target may be in many rule sets
     targets = keyed.select("chain_id", "tb", "k", F.char_length("tb").alias("tl")).distinct().withColumns(
         {"set_id": F.xxhash64("tb"), "rule_idx": K("k")})
-    lengths = targets.select("chain_id", K("tl").alias("pl")).distinct()
+    lengths = targets.groupBy("chain_id", K("tl").alias("pl")).agg(F.max(short(K("tl"), K("k"))).alias("short"))
     named = parts.select("chain_id", "part", known(part_id(K("part"))).alias("part_id"))
 
-    equal = cut(whole(parts.select("chain_id", "part"), targets).select("chain_id", "part", "tb", "k", "d"), "whole-matches")
-    windows = window_rows(named, lengths)
-    close = close_windows(windows, targets, near)
+    equal = whole(parts.select("chain_id", "part"), targets).where(
+        (F.octet_length("part") < PART_BYTES) | short(F.char_length("tb"), K("k")))
+    equal = cut(equal.select("chain_id", "part", "tb", "k", "d"), "whole-matches")
+    close = close_windows(window_rows(named, lengths), targets, near)
+    windows = window_rows(dealt_parts(named), lengths)
     small = BROADCAST_BYTES if table_bytes(close, ["pb", "tb"]) <= BROADCAST_BYTES else 2 * BROADCAST_BYTES
-    hits = key_join(windows, close, ["chain_id", "pb", "pl"], small, by=["part_id"])
+    short_part = F.octet_length("part_id") < PART_BYTES
+    hits = key_join(windows, close, ["chain_id", "pb", "pl"], small, by=["part_id"]).where(short_part | short(K("pl"), K("k")))
+    # distance and place as one number, since structs would be sorted to be added up
     best = hits.groupBy(*PAIR).agg(
-        F.min(F.struct("d", "place")).alias("best"), F.min(F.when(K("place") == 0, K("d"))).alias("at_start"))
-    best = best.join(equal.select("chain_id", known(part_id(K("part"))).alias("part_id"), "tb", "k"), PAIR, "left_anti")
+        F.min(K("d") * F.lit(PLACES) + K("place")).alias("best"), F.min(F.when(K("place") == 0, K("d"))).alias("at_start"))
     best = cut(best, "window-matches")
+    # only parts that are hardly longer than the target can be within the limit as a whole
+    hardly = ~short_part | (F.octet_length("part_id") - F.char_length("tb") <= K("k"))
+    whole_ids = equal.select("chain_id", known(part_id(K("part"))).alias("part_id"), "tb", "k")
+    best = best.where(~hardly).unionByName(best.where(hardly).join(whole_ids, PAIR, "left_anti"))
 
     def result(rows: DataFrame, distance: Column, place: Column) -> DataFrame:
         window = F.when(place.isNotNull(), from_byte_string(F.substring(byte_string(K("part")), place + 1, F.char_length("tb"))))
         return rows.select("chain_id", "part", "tb", "k", distance.alias("distance"), window.alias("substring"))
 
     found = equal.select("chain_id", "part", "tb", "k", K("d").alias("distance"), F.lit(None).cast("string").alias("substring"))
-    texts = best.join(named, ["chain_id", "part_id"])
+    texts = best.where(short_part).withColumn("part", K("part_id")).unionByName(
+        best.where(~short_part).join(named.where(F.octet_length("part") >= PART_BYTES), ["chain_id", "part_id"]))
     if every_window:
-        found = found.unionByName(result(texts, K("best.d"), K("best.place")))
+        found = found.unionByName(result(
+            texts, F.shiftright("best", 32).cast("int"), K("best").bitwiseAND(F.lit(PLACES - 1)).cast("int")))
     else:
         # a scan ends where the limit is met, and where the distance leaves no room for a step
         found = found.unionByName(result(texts.where("at_start is not null"), K("at_start"), F.lit(0)))
