@@ -25,6 +25,8 @@ PAIR = ["chain_id", "part_id", "tb", "k"]
 PART_BYTES = 64
 # So many parts are taken apart by one task.
 TASK_PARTS = 20_000
+# So many distinct windows are compared by one task.
+TASK_WINDOWS = 100_000
 PLACES = 1 << 32
 
 
@@ -56,7 +58,9 @@ def close_windows(windows: DataFrame, targets: DataFrame, near: Callable[[DataFr
 
     ``near(windows, targets)`` gives these pairs with the distance ``d``.
     """
-    distinct = windows.select("chain_id", "pb", "pl").distinct()
+    # small on disk, much work each: dealt out by their number, not by their bytes
+    distinct = cut(windows.select("chain_id", "pb", "pl").distinct(), "windows")
+    distinct = distinct.repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // TASK_WINDOWS)))
     return cut(near(distinct, targets).select("chain_id", "pb", "pl", "tb", "k", "d"), "close-windows")
 
 
