@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearmark.operators import Options, register_rule
 from nearmark.plans.match import match_targets
 from nearmark.sources.catalog import Catalog, catalog_from_rules
+from nearmark.session import cut
 from workload import sql
 from workload.inputs import catalog, rule, table, targets, words
 from workload.registry import registry
@@ -334,15 +335,16 @@ def regex_join(spark, sf_dir):
 def cidr_join(spark, sf_dir):
     keys = table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 256).alias("x"), (F.floor(F.col("l_partkey") / 256) % 256).alias("y"),
-        (F.col("l_partkey") % 256).alias("z"))
+        (F.col("l_partkey") % 256).alias("z")).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
     def hexed(name: str):
         return F.lower(F.hex(F.col(name).cast("bigint")))
 
-    v4 = keys.select(F.concat_ws(".", F.lit(10), "x", "y", "z").alias("value"))
-    v6 = keys.select(F.concat(F.lit("fd00::"), F.concat_ws(":", hexed("x"), hexed("y"), hexed("z"))).alias("value"))
-    nets = table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").cast("bigint").alias("x"), (F.floor(F.col("c_custkey") / 256) % 256).alias("y")).distinct()
+    v4 = keys.select(F.concat_ws(".", F.lit(10), "x", "y", "z").alias("value"), "n")
+    v6 = keys.select(F.concat(F.lit("fd00::"), F.concat_ws(":", hexed("x"), hexed("y"), hexed("z"))).alias("value"), "n")
+    # written: what is asked of a network would else be worked out for every customer
+    nets = cut(table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("bigint").alias("x"), (F.floor(F.col("c_custkey") / 256) % 256).alias("y")).distinct(), "nets")
     dotted = F.concat(F.lit("10."), "x", F.lit("."))
     networks = nets.select(F.concat(dotted, "y", F.lit(".0/24")).alias("network")).unionByName(
         nets.select(F.concat(dotted, F.lit("0.0/16")).alias("network")).distinct()).unionByName(
@@ -350,7 +352,7 @@ def cidr_join(spark, sf_dir):
     rules = catalog_from_rules(networks.select(
         F.lit("networks").alias("group_name"), F.col("network").alias("rule_set"), F.col("network").alias("target"),
         F.lit(0).alias("rule_idx"), F.lit("cidr").alias("rule_type"), F.col("network").alias("address")))
-    values = v4.unionByName(v6).groupBy("value").agg(F.count("*").alias("n"))
+    values = v4.unionByName(v6).groupBy("value").agg(F.sum("n").alias("n"))
     return match_targets(values, rules).select(F.col("value").alias("address"), F.col("rule_set").alias("network"))
 
 
