@@ -23,7 +23,7 @@ from nearmark.functions.phonetic import match_rating_code, refined_soundex_code,
 from nearmark.functions.text import characters, index_combinations, is_ascii, known, occurrence_tokens, position_tokens, rare_first, token_bitmap
 from nearmark.operators import bitmaps
 from nearmark.operators.bitmaps import with_bitmap
-from nearmark.operators.joins import ROW_OVERHEAD, hot_join, hot_keys, key_join, size_bound, sliced_join
+from nearmark.operators.joins import BROADCAST_BYTES, ROW_OVERHEAD, hot_join, hot_keys, key_join, size_bound, sliced_join
 from nearmark.operators.jobs import Options, RuleJob, register
 from nearmark.schemas import result_columns
 from nearmark.session import cut
@@ -130,6 +130,14 @@ def with_parts(named: DataFrame, counted: DataFrame, found: DataFrame) -> DataFr
     return hot_join(named, found, ["chain_id", "item"], hot_keys(counted, ["chain_id", "item"], "n"), ["part"])
 
 
+def with_both(named: DataFrame, counted: DataFrame, pairs: DataFrame, rules: DataFrame, p: str, item: Column,
+              bound: int) -> DataFrame:
+    """Replace both items: by parts and by rules. Rules that are broadcast come last, so that only bare pairs are shuffled."""
+    if bound <= BROADCAST_BYTES:
+        return _with_rules(with_parts(named, counted, pairs), rules, p, item, bound)
+    return with_parts(named, counted, _with_rules(pairs, rules, p, item, bound))
+
+
 # --- jaccard --------------------------------------------------------------------------------------------
 
 
@@ -158,8 +166,7 @@ def _find_jaccard(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
         "tokens", rare_first(characters(K("other"))))
     pairs = shared_token_pairs(items, targets, _jaccard_need, bound).withColumn(
         "value", _jaccard(characters(K("item")), characters(K("other")))).where("value >= p")
-    found = _with_rules(pairs, rules, "minimum_similarity", target_signature, bound)
-    matched = with_parts(named, counted, found)
+    matched = with_both(named, counted, pairs, rules, "minimum_similarity", target_signature, bound)
     return matched.select("*", *result_columns(match=F.lit(True), similarity=K("value")))
 
 
@@ -232,8 +239,7 @@ def _find_soundex(parts: DataFrame, rules: DataFrame, profile: Row, options: Opt
             "tokens", position_tokens(K("other")))
         pairs = shared_token_pairs(items, targets, _soundex_need, size_bound(profile, 40)).withColumn(
             "value", _equal_positions(K("item"), K("other"))).where("value >= p")
-        with_rules = _with_rules(pairs, of_kind, "minimum_similarity", code(K("target")), size_bound(profile))
-        matched = with_parts(named, counted, with_rules)
+        matched = with_both(named, counted, pairs, of_kind, "minimum_similarity", code(K("target")), size_bound(profile))
         found = matched if found is None else found.unionByName(matched)
     return found.select("*", *result_columns(match=F.lit(True), similarity=K("value")))
 
@@ -314,8 +320,7 @@ def _find_match_rating(parts: DataFrame, rules: DataFrame, profile: Row, options
     # every pair of codes is rated once
     pairs = shared_token_pairs(items, targets, _rating_need, size_bound(profile, 40), weighted=True)
     pairs = with_rating(pairs, "item", "other").where("agree").drop("agree")
-    found = _with_rules(pairs, rules, "p", match_rating_code(K("target")), size_bound(profile))
-    rated = with_parts(named, counted, found)
+    rated = with_both(named, counted, pairs, rules, "p", match_rating_code(K("target")), size_bound(profile))
     short = parts.where(~_rated(K("part"))).select("chain_id", "part")
     equal = key_join(short, rules.withColumn("part", K("target")), ["chain_id", "part"], size_bound(profile))
     both = rated.select(equal.columns).unionByName(equal)
