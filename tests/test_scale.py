@@ -1,13 +1,17 @@
 """What grows with the records is done once: inputs are read once, records are not kept or shuffled without need."""
 
 import glob
+import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from nearmark import catalog_from_targets, enrich, match_strings
-from nearmark.operators import Options
-from nearmark.plans.match import match_targets, match_values, scored_pairs
+from nearmark.functions.network import address_bits
+from nearmark.operators import Options, overlap, preprocess
+from nearmark.operators.counters import exclusion_counters
+from nearmark.plans.match import match_targets, match_values, matched_pairs, scored_pairs
 from nearmark.schemas import PAIR_KEY
 from nearmark.sinks.files import write_json_lines, write_match_table
 from nearmark.sources import records as R
@@ -34,6 +38,12 @@ def catalog(spark, targets, *kinds, **values):
     return catalog_from_targets(rows, "t", [{"rule_type": kind, "values": values} for kind in kinds])
 
 
+def joins_on(df, text):
+    """Joins of the optimized plan that mention a text in their first line."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Join " in line and text in line]
+
+
 def strings(spark, words, column="value"):
     return spark.createDataFrame([(w, 1) for w in words], f"{column} string, n long")
 
@@ -121,3 +131,72 @@ def test_a_batch_that_is_read_once_is_not_kept(spark, tmp_path):
         run_batches(R.stream_json_lines(spark, str(tmp_path / "in")), work, [lambda df, _: got.extend(df.collect())],
                     str(tmp_path / f"checkpoint{number}"), available_now=True, reads_once=once).awaitTermination()
     assert kept == [False, True] and len(got) == 4
+
+
+@pytest.mark.parametrize("report_all", [False, True])
+def test_parts_that_are_values_need_no_join(spark, report_all):
+    rules, columns = catalog(spark, ["test", "x"], "levenshtein", maximum_distance=1), ["value", "part_ord", "split_position", *PAIR_KEY, "match"]
+    values = strings(spark, [*WORDS, None])
+    found = match_values(values, rules, report_all=report_all)
+    assert not joins_on(found, "salt")
+    chain = values.where("value is not null").select(K("value").alias("part")).crossJoin(rules.chains.select("chain_id").distinct())
+    expected = scored_pairs(chain, rules).where(F.lit(report_all) | K("match")).select(
+        K("part").alias("value"), F.array().cast("array<int>").alias("part_ord"), F.lit(None).cast("int").alias("split_position"), *PAIR_KEY, "match")
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, expected.collect()))
+    twice = match_values(values.unionByName(values), rules, report_all=report_all)
+    assert twice.count() == 2 * expected.count()
+
+
+@pytest.mark.parametrize("limit", [32, 1])
+def test_values_are_made_once_for_few_exclusion_patterns(spark, monkeypatch, limit):
+    monkeypatch.setattr(preprocess, "FEW_PATTERNS", limit)
+    values, made = counting(spark, strings(spark, [*WORDS, None, "the", "THE"]), "value")
+    entries = spark.createDataFrame([(1, "^t[he]"), (1, "(?i)THE$"), (1, None), (2, "x")], "chain_id long, entry string")
+    parts = preprocess.start_parts(values, [1])
+    kept = preprocess.drop_matching(parts, entries)
+    if limit > 1:
+        assert made.value == 0
+    assert sorted(r.part or "" for r in kept.collect()) == sorted(w for w in [*WORDS, ""] if w not in ("test", "tests"))
+    if limit > 1:
+        assert made.value == len(WORDS) + 3
+    assert sorted(r.part for r in preprocess.drop_matching(parts, entries, "left_semi").collect()) == ["THE", "test", "tests", "the"]
+
+
+def test_exclusion_counters_without_lookups(spark):
+    rules = catalog_from_targets(spark.createDataFrame([("a",)], "t string"), "t", [{"rule_type": "confusables", "values": {}}], [
+        {"preprocessor_type": "split_target"},
+        {"preprocessor_type": "exclusion_set", "exclusion_set_source": "list", "regex": True, "list": ["^th", "(tion|ment)$"]}])
+    values, made = counting(spark, spark.createDataFrame([("the.station.x", 2), ("moment.y", 3), ("z", 5)], "value string, n long"), "value")
+    assert [(r.step, r.exclusions) for r in exclusion_counters(values, rules).collect()] == [(1, 7)]
+    assert made.value == 6  # for the steps and for the counts
+
+
+def test_addresses_are_read_as_python_reads_them(spark):
+    groups, rng, texts = ["1", "a", "0", "FFFF", ":", ":", "::", ".", "12"], random.Random(2), ["::", "::1.2.3.4", "1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8",
+        "1:2:3:4::5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.04", "fe80::1%a", "::1\n", "1:::2", ":", "a:" * 5000 + "a"]
+    texts += ["".join(rng.choice(groups) for _ in range(rng.randint(1, 17))) for _ in range(3000)]
+
+    def expected(text):
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return None if "%" in text else format(int(address), "0128b" if address.version == 6 else "032b")
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", address_bits(K("t")).alias("bits"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r.t, r.bits) for r in rows.collect()] == [(t, expected(t)) for t in texts]
+
+
+@pytest.mark.parametrize("kind,values", [("match_rating", {}), ("soundex", {"minimum_similarity": 3}), ("jaccard", {"minimum_similarity": 0.5})])
+@pytest.mark.parametrize("limit", [1, 64 << 20])
+def test_rules_that_are_broadcast_come_after_the_parts(spark, monkeypatch, kind, values, limit):
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", limit)
+    words = ["test", "tests", "tast", "contest", "contests", "smith", "smyth", "x", "a", ""]
+    rules = catalog(spark, words[:6] + ["x"], kind, **values)
+    parts = spark.createDataFrame([(w,) for w in words], "part string").crossJoin(rules.chains.select("chain_id").distinct())
+    found = matched_pairs(parts, rules)
+    shuffled = joins_on(found, "salt")
+    assert shuffled
+    expected = scored_pairs(parts, rules).where("match")
+    assert sorted(map(str, found.select(*PAIR_KEY).collect())) == sorted(map(str, expected.select(*PAIR_KEY).collect()))
