@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from nearmark.llm import licences, manifest, phrases, tables
@@ -246,3 +247,19 @@ def test_manifest_over_several_tiers(spark, monkeypatch):
     monkeypatch.setattr(manifest, "LEAVES_PER_COPY", 3)
     monkeypatch.setattr(manifest, "BROADCAST_NODES", 10)
     check_manifest(spark, [(i, "s", f"l{i % 23}" if i > 150 else "hot", i, f"text {i}") for i in range(400)])
+
+
+def test_ids_are_looked_up_by_the_words_of_a_chunk(spark):
+    known = pa.array(["the", "of", "a", "é"], pa.large_string())
+    words = pa.array(["a", ".", "the", "a", "é", "none", ""], pa.large_string())
+    assert phrases.ids_among(words, known).tolist() == [3, 0, 1, 3, 4, 0, 0]
+    assert phrases.ids_among(words[:0], known).tolist() == [] and phrases.ids_among(words, known[:0]).tolist() == [0] * 7
+
+
+def test_joined_ids_are_laid_out_without_collecting_pieces(spark):
+    ids = spark.createDataFrame([("en", "the", 1), ("en", "of", 2), ("fr", "de", 1)], "lang string, word string, id long")
+    rows = [("en", ["the", "x", "of", "the"]), ("fr", ["x", "de"]), ("en", ["x"]), ("de", ["the"]), ("en", ["of"] * 300)]
+    laid = phrases._joined(spark.createDataFrame(rows, "lang string, held array<string>"), ids, "word", phrases.Settings(hot_ids=1))
+    assert "collect_list" not in laid._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.lang, np.frombuffer(r.held, np.int32).tolist()) for r in laid.collect())
+    assert got == [("en", [1, 0, 2, 1, 0]), ("en", [2] * 300 + [0]), ("fr", [0, 1, 0])]
