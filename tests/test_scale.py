@@ -1,7 +1,9 @@
 """What grows with the records is done once: inputs are read once, records are not kept or shuffled without need."""
 
 import glob
+import importlib
 import ipaddress
+import json
 import random
 
 import pytest
@@ -10,12 +12,13 @@ from pyspark.sql import functions as F
 from nearmark import catalog_from_targets, enrich, match_strings
 from nearmark.functions.network import address_bits
 from nearmark.operators import Options, overlap, preprocess
+from nearmark.operators.control import add_member
 from nearmark.operators.counters import exclusion_counters
 from nearmark.plans.match import match_targets, match_values, matched_pairs, scored_pairs
 from nearmark.schemas import PAIR_KEY
 from nearmark.sinks.files import write_json_lines, write_match_table
 from nearmark.sources import records as R
-from nearmark.streaming.run import run_batches, text_folder
+from nearmark.streaming.run import append_folder, run_batches, text_folder
 
 K = F.col
 WORDS = ["tset", "test", "tests", "contest", "none", "x", "", "tést", "a" * 70 + "testing" + "b" * 9, "z" * 66 + "tst"]
@@ -200,3 +203,22 @@ def test_rules_that_are_broadcast_come_after_the_parts(spark, monkeypatch, kind,
     assert shuffled
     expected = scored_pairs(parts, rules).where("match")
     assert sorted(map(str, found.select(*PAIR_KEY).collect())) == sorted(map(str, expected.select(*PAIR_KEY).collect()))
+
+
+def test_a_bitmap_is_as_large_as_its_strings_ask(spark, monkeypatch):
+    from nearmark.operators import joins
+
+    names = spark.range(3000).select(F.concat(F.lit("name"), "id").alias("name"))
+    assert f"{joins.LEAST_BITS})" in joins.possible_rows(names, names, "name")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "LEAST_BITS", joins.PIECE_BITS)
+    assert "131072)" in joins.possible_rows(names, names, "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.possible_rows(names.unionByName(names), names, "name").count() == 6000
+
+
+def test_rows_that_are_their_strings_are_not_joined_again(spark, monkeypatch):
+    monkeypatch.setattr("nearmark.plans.match.BROADCAST_BYTES", 1)
+    rules = catalog(spark, ["test"], "levenshtein", maximum_distance=1)
+    for names, expected in ((["test", "tset", "tests", None], ["test", "tests"]), (["test", "tests", "test"], ["test", "test", "tests"])):
+        found = match_strings(spark.createDataFrame([(n,) for n in names], "word string"), "word", rules)
+        assert sorted(r.word for r in found.collect()) == expected
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (len(set(names)) < len(names))
