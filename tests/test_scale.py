@@ -205,6 +205,11 @@ def test_rules_that_are_broadcast_come_after_the_parts(spark, monkeypatch, kind,
     assert sorted(map(str, found.select(*PAIR_KEY).collect())) == sorted(map(str, expected.select(*PAIR_KEY).collect()))
 
 
+def test_appended_rows_can_be_compressed_otherwise(spark, tmp_path):
+    append_folder(str(tmp_path / "z"), "zstd")(spark.range(5), 0)
+    assert glob.glob(str(tmp_path / "z/*.zstd.parquet")) and spark.read.parquet(str(tmp_path / "z")).count() == 5
+
+
 def test_a_bitmap_is_as_large_as_its_strings_ask(spark, monkeypatch):
     from nearmark.operators import joins
 
