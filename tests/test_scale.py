@@ -205,11 +205,39 @@ def test_rules_that_are_broadcast_come_after_the_parts(spark, monkeypatch, kind,
     assert sorted(map(str, found.select(*PAIR_KEY).collect())) == sorted(map(str, expected.select(*PAIR_KEY).collect()))
 
 
+def small_tables(spark, folder):
+    rows = [(i, f"testing the tests, {w} rest; test", "en") for i, w in enumerate([*WORDS, "tset", 'quo"te', "back\\slash"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "test rest contest")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name,module", [("stream_enriched", "results"), ("replayed_batch", "batches")])
+def test_streams_read_compressed_records(spark, tmp_path, monkeypatch, name, module):
+    written, module = [], importlib.import_module(f"workload.{module}")
+    write = module.write_json_lines
+    monkeypatch.setattr(module, "write_json_lines", lambda df, path, *how: (written.append(path), write(df, path, *how)))
+    monkeypatch.setattr("nearmark.sinks.files.write_json_lines", write)
+    found = {r.word: r.records for r in module.QUERIES[name](spark, small_tables(spark, str(tmp_path))).collect()}
+    assert found["test"] == len(WORDS) + 3 + WORDS.count("test")
+    assert glob.glob(f"{written[0]}/*.txt.gz") and not glob.glob(f"{written[0]}/*.txt")
+
+
 def test_appended_rows_can_be_compressed_otherwise(spark, tmp_path):
     append_folder(str(tmp_path / "z"), "zstd")(spark.range(5), 0)
     assert glob.glob(str(tmp_path / "z/*.zstd.parquet")) and spark.read.parquet(str(tmp_path / "z")).count() == 5
 
 
+def test_records_with_the_same_name_come_together(spark):
+    names = ["test", "tests", "far", "tset"] * 5
+    records = spark.createDataFrame([("t", f'{{"name":"{n}","row":{i}}}') for i, n in enumerate(names)], "input_type string, value string")
+    rules = catalog(spark, ["test"], "levenshtein", maximum_distance=2)
+    rows = enrich(records.coalesce(1), ".name", rules, alike_together=True).collect()
+    came = [json.loads(r.value)["name"] for r in rows]
+    assert len(came) == 15 and sum(a != b for a, b in zip(came, came[1:])) == 2
+    assert sorted(r.value for r in rows) == sorted(r.value for r in enrich(records, ".name", rules).collect())
+
+
 def test_a_bitmap_is_as_large_as_its_strings_ask(spark, monkeypatch):
     from nearmark.operators import joins
 
