@@ -238,6 +238,15 @@ def test_records_with_the_same_name_come_together(spark):
     assert sorted(r.value for r in rows) == sorted(r.value for r in enrich(records, ".name", rules).collect())
 
 
+def test_plain_records_get_their_member_without_patterns(spark):
+    texts = ['{"a":1}', ' {"a":1}\n', "{}", "{ }", '{ "a":1}', '{"m":3}', '{"a":"\\u006d"}', '{"\\u006d":3,"a":1}', '{"a":"}"} ', '{"a":"m"}']
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    out = rows.select("value", add_member(K("value"), "m", F.lit("[9]")).alias("out"))
+    assert [json.loads(r.out) for r in out.collect()] == [json.loads(t) | {"m": [9]} for t in texts]
+    assert [r.out for r in out.collect()][:2] == ['{"a":1,"m":[9]}'] * 2
+    assert 'StartsWith(value' in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_bitmap_is_as_large_as_its_strings_ask(spark, monkeypatch):
     from nearmark.operators import joins
 
