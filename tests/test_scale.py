@@ -247,6 +247,11 @@ def test_plain_records_get_their_member_without_patterns(spark):
     assert 'StartsWith(value' in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_the_leaf_of_a_record_is_kept(spark):
+    plan = R.with_field(spark.createDataFrame([('{"k":"a"}',)], "value string"), ".k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(try_variant_get(" in plan
+
+
 def test_a_bitmap_is_as_large_as_its_strings_ask(spark, monkeypatch):
     from nearmark.operators import joins
 
