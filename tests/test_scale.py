@@ -269,3 +269,13 @@ def test_rows_that_are_their_strings_are_not_joined_again(spark, monkeypatch):
         found = match_strings(spark.createDataFrame([(n,) for n in names], "word string"), "word", rules)
         assert sorted(r.word for r in found.collect()) == expected
         assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (len(set(names)) < len(names))
+
+
+def test_enriched_records_reads_a_record_once(spark, tmp_path):
+    from workload.results import QUERIES
+
+    out = QUERIES["enriched_records"](spark, small_tables(spark, str(tmp_path)))
+    rows = out.collect()
+    assert {(r.word, r.target): r.records for r in rows if r.doc_id == 0}[("test", "rest")] >= 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan[:plan.index("Generate explode(r")].splitlines() if "variant_get" in line]
